@@ -1,0 +1,77 @@
+"""Cut the history of each device into time slices.
+
+Operators that follow the order of a device's rows (previous status, running
+number, cooldown) would send the whole history of a device to one task. They
+work on ``(_key, _slice)`` groups instead and join the slices up afterwards with
+a few rows per slice, so a device that owns a large share of all rows is spread
+over many tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from wattfleet.functions.scalars import micros
+
+KEY = "_key"
+SLICE = "_slice"
+SLICE_COLUMNS = [KEY, SLICE]
+
+# Rows without a time come first, in a bucket of their own.
+_NO_TIME = -(2**62)
+
+MAX_ROWS = 2_000_000
+
+
+def key_struct(keys: list[str]) -> Column:
+    """Keys as one never-null value, so that null keys group and join like others."""
+    return F.struct(*[F.col(k) for k in keys])
+
+
+def time_bucket(ts: str, seconds: int) -> Column:
+    return F.coalesce(F.floor(micros(ts) / F.lit(seconds * 1_000_000)), F.lit(_NO_TIME))
+
+
+def with_slices(
+    df: DataFrame, keys: list[str], ts: str, seq: str, seconds: int = 3600, max_rows: int | None = MAX_ROWS
+) -> DataFrame:
+    """Add ``_key`` and ``_slice``; slices sort in the order of ``(ts, seq)``.
+
+    A slice is a time bucket of fixed width. A bucket with more than ``max_rows``
+    rows of one key is cut further, evenly by time, or by ``seq`` where all its
+    times are equal. There are at most ``rows / max_rows`` such buckets, which
+    bounds the broadcast table. ``max_rows=None`` leaves the buckets whole.
+    """
+    bucketed = df.withColumn(KEY, key_struct(keys)).withColumn("_bucket", time_bucket(ts, seconds))
+    if max_rows is None:
+        return bucketed.withColumn(SLICE, F.struct("_bucket", F.lit(0).cast("bigint").alias("part"))).drop("_bucket")
+    crowded = (
+        bucketed.groupBy(KEY, "_bucket")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min(micros(ts)).alias("_t0"),
+            F.max(micros(ts)).alias("_t1"),
+            F.min(seq).cast("bigint").alias("_s0"),
+            F.max(seq).cast("bigint").alias("_s1"),
+        )
+        .where(F.col("_n") > max_rows)
+        .withColumn("_parts", F.ceil(F.col("_n") / max_rows))
+        .select(
+            KEY,
+            "_bucket",
+            (F.col("_t1") > F.col("_t0")).alias("_by_time"),
+            "_t0",
+            F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.col("_parts")).alias("_t_step"),
+            "_s0",
+            F.ceil((F.col("_s1") - F.col("_s0") + 1) / F.col("_parts")).alias("_s_step"),
+        )
+    )
+    part = F.when(F.col("_by_time"), F.floor((micros(ts) - F.col("_t0")) / F.col("_t_step"))).otherwise(
+        F.floor((F.col(seq).cast("bigint") - F.col("_s0")) / F.col("_s_step"))
+    )
+    return (
+        bucketed.join(F.broadcast(crowded), [KEY, "_bucket"], "left")
+        .withColumn(SLICE, F.struct("_bucket", F.coalesce(part, F.lit(0)).alias("part")))
+        .drop("_bucket", "_by_time", "_t0", "_t_step", "_s0", "_s_step")
+    )
