@@ -47,7 +47,8 @@ def _silver_type(column: str) -> T.DataType:
 
 SILVER_SCHEMA = T.StructType([T.StructField(c, _silver_type(c)) for c in READING_COLUMNS])
 
-PAYLOAD_META = ["pi_name", "pi_ip", "meter_name", "time", "device_id", "model", "location"]
+# The message repeats the time under "time"; it is left out here because it differs from "Time" in case only.
+PAYLOAD_META = ["pi_name", "pi_ip", "meter_name", "device_id", "model", "location"]
 PAYLOAD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in PARAMETERS + PAYLOAD_META])
 
 MANIFEST_SCHEMA = "target string, path string, mtime bigint, size bigint"
