@@ -41,6 +41,7 @@ def readings_folder(tmp_path):
         "1,A",
         "",
         "3,C,2025-10-17 10:00:00",
+        '1,"A,B"',
         csv_line("4", "D", "2025-10-17 10:00:00", "LG6400", "-1"),
     ]) + "\n")
     (folder / "Plant-B.csv").write_text(HEADER + "\n")
@@ -51,6 +52,8 @@ def test_read_prune_and_type(spark, readings_folder):
     bronze = IO.read_readings(spark, readings_folder)
     assert bronze.columns[:31] == READING_COLUMNS
     assert {r.site for r in bronze.select("site").distinct().collect()} == {"PlantA"}
+    in_order = [r.Device_ID for r in bronze.orderBy("seq").collect()]
+    assert in_order == ["1", "1", "2", "1", "3", "1", "4"]
     kept = Q.drop_malformed(bronze)
     assert sorted(r.Device_ID for r in kept.collect()) == ["1", "1", "2", "3", "4"]
     silver = Q.to_silver(kept)
@@ -224,6 +227,7 @@ REGISTRY = """// devices of the site
 
 def test_registry(spark, tmp_path):
     (tmp_path / "Site 1.jsonc").write_text(REGISTRY)
+    (tmp_path / "LG+5220 %41.jsonc").write_text("[]")
     (tmp_path / "list.jsonc").write_text('\n [{"name": "L", "address": 4, "model": "m", "location": ""}] // end')
     (tmp_path / "bad.jsonc").write_text('{"other": [1]}')
     (tmp_path / "worse.jsonc").write_text("[{")
@@ -243,6 +247,30 @@ def test_registry(spark, tmp_path):
     assert edited[5].address == 1 and edited[5].location == "" and edited[0].location == "P"
 
 
+def test_site_names(spark, tmp_path):
+    for name in ("LG+5220 x%41.csv", "plain", "two.dots.csv"):
+        (tmp_path / name).write_text(HEADER + "\n1,A,t\n")
+    got = {r.site for r in IO.read_readings(spark, str(tmp_path)).collect()}
+    assert got == {"LG+5220 x%41", "plain", "two.dots"}
+
+
+def test_order_of_a_file_survives_its_splits(spark, tmp_path):
+    lines = [HEADER] + [csv_line(str(i), "A", "t", "m", "1") for i in range(4000)]
+    (tmp_path / "big.csv").write_text("\n".join(lines) + "\n")
+    for i in range(5):
+        (tmp_path / f"small{i}.csv").write_text("\n".join(lines[:50]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        df = IO.read_readings(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.select("site", "seq", "Device_ID").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for site in {r.site for r in rows}:
+        ids = [int(r.Device_ID) for r in sorted((r for r in rows if r.site == site), key=lambda r: r.seq)]
+        assert ids == list(range(4000 if site == "big" else 49))
+
+
 def test_jsonc_text(spark, tmp_path):
     (tmp_path / "a.jsonc").write_text(REGISTRY)
     text = SR.read_jsonc(spark, str(tmp_path)).first().text
@@ -330,7 +358,7 @@ def test_payload_round_trip(spark):
     message = P.build_payload(silver, F.lit("pi"), F.lit("192.0.2.1"))
     body = json.loads(message.first().value)
     assert body["Watts Total"] == 1.5 and body["Time"] == body["time"] == "2025-10-17 10:00:00"
-    assert "location" not in body and "A B Harmonics" not in body and body["On Hours"] == 3600
+    assert "location" not in body and "A B Harmonics" not in body and body["On Hours"] == "01:00:00"
     back = P.parse_payloads(message).first()
     assert (back.Device_ID, back.Meter_Name, back.Time, back.Watts_Total) == ("1", "M1", "2025-10-17 10:00:00", "1.5")
     broken = spark.createDataFrame([("nope",), ('{"time": "2025-01-01 00:00:00"}',)], "value string")

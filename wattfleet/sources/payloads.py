@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wattfleet.functions.payloads import payload_json
+from wattfleet.functions.scalars import seconds_to_hms
 from wattfleet.schema import PARAM_COLUMNS, PARAMETERS, PAYLOAD_SCHEMA, clean_name
 
 
@@ -16,7 +17,12 @@ def build_payload(
     params: list[str] | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Messages as a ``value`` column, ready for a topic; works on streams too."""
+    """Messages as a ``value`` column, ready for a topic; works on streams too.
+
+    On-hours typed as seconds go out as HH:MM:SS.
+    """
+    if dict(df.dtypes).get("On_Hours") == "bigint":
+        df = df.withColumn("On_Hours", seconds_to_hms("On_Hours"))
     params = params or ["Time", *[c for c in PARAM_COLUMNS if c in df.columns]]
     optional = {k: F.col(c) if c in df.columns else None
                 for k, c in (("device_id", "Device_ID"), ("model", "Model"), ("location", "location"))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattfleet.functions.scalars import date_key, sanitize_key
@@ -12,17 +12,34 @@ from wattfleet.schema import BRONZE_SCHEMA, CORRUPT
 CSV_OPTIONS = {"header": "true", "columnNameOfCorruptRecord": CORRUPT, "enforceSchema": "true"}
 
 
-def read_readings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Readings files with a header, all columns as text.
+def _with_origin(df: DataFrame) -> DataFrame:
+    """Add ``file``, ``site`` (the file name without its suffix) and ``seq``.
 
-    Adds ``_corrupt`` (the raw line of a ragged row), ``file`` and ``site``, the file name without its suffix.
+    At rest ``seq`` follows the order of a file: the row number inside the task is below
+    the length of a full file split, so the start of the split plus that number grows
+    along the file. A stream does not number rows; there ``seq`` is the time of the file.
     """
-    df = spark.read.schema(BRONZE_SCHEMA).options(**CSV_OPTIONS).csv(paths)
-    return df.select("*", F.col("_metadata.file_path").alias("file")).withColumn("site", site_of("file"))
+    if df.isStreaming:
+        seq = F.unix_micros("_metadata.file_modification_time")
+    else:
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+        seq = F.col("_metadata.file_block_start") + row
+    origin = df.select("*", F.col("_metadata.file_path").alias("file"), seq.alias("seq"))
+    return origin.withColumn("site", site_of("file"))
+
+
+def site_of(path: str) -> Column:
+    name = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def site_of(path: str):
-    return F.url_decode(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
+def read_readings(spark: SparkSession, paths: str | list[str], stream: bool = False, **options: str) -> DataFrame:
+    """Readings files with a header, all columns as text.
+
+    Adds ``_corrupt`` (the raw line of a ragged row), ``file``, ``site`` and ``seq``.
+    """
+    reader = spark.readStream if stream else spark.read
+    return _with_origin(reader.schema(BRONZE_SCHEMA).options(**CSV_OPTIONS, **options).csv(paths))
 
 
 def _spread(df: DataFrame, columns: list[str]) -> DataFrame:
