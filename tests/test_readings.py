@@ -194,6 +194,14 @@ def test_registers_to_params(spark):
     assert set(tuple(got[9])[2:]) == {0.0, "0"}
     text = {r.id: r for r in G.registers_to_text(df).collect()}
     assert text[6].Frequency == "NA" and text[6].A_average == "230.50" and text[7].Frequency == "-1"
+    long = {(r.id, r.param): (r.value, r.quality) for r in G.registers_to_long(df).collect()}
+    assert len(long) == 9 * 27
+    assert long[1, "Watts_Total"] == (230.5, "ok") and long[1, "On_Hours"] == (446645.0, "ok")
+    assert long[1, "No_of_interruption"] == (65538.0, "ok") and long[3, "On_Hours"] == (3661.0, "ok")
+    assert long[3, "V_R_Harmonics"] == (None, "unsupported") and long[4, "On_Hours"] == (None, "no_response")
+    assert long[5, "On_Hours"] == (None, "comm_failure") and long[6, "Frequency"] == (None, "unsupported")
+    assert long[7, "On_Hours"] == (None, "comm_failure") and long[8, "A_average"] == (None, "no_response")
+    assert long[9, "Frequency"] == (None, "no_response")
     plan = G.registers_to_params(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 

@@ -58,18 +58,22 @@ def format_value(c: Column | str) -> Column:
 
 
 def decode_float32(lo: Column | str, hi: Column | str) -> Column:
-    """IEEE-754 single from two 16-bit words, low word first, rounded to 2 decimals."""
+    """IEEE-754 single from two 16-bit words, low word first, rounded to 2 decimals.
+
+    A zero exponent needs no case of its own: such numbers round to zero either way.
+    A single times 100 is exact as a double, so rounding it to an integer decides halves
+    on the exact value, to even.
+    """
     high = _col(hi).cast("bigint")
     low = _col(lo).cast("bigint")
-    sign = F.when(high >= 32768, F.lit(-1.0)).otherwise(F.lit(1.0))
+    sign = 1 - 2 * F.shiftright(high, 15)
     exponent = F.shiftright(high, 7).bitwiseAND(F.lit(255))
-    fraction = F.shiftleft(high.bitwiseAND(F.lit(127)), 16).bitwiseOR(low).cast("double")
-    normal = F.pow(F.lit(2.0), exponent.cast("double") - 127) * (1 + fraction / F.lit(8388608.0))
-    subnormal = fraction * F.lit(2.0**-149)
-    special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
-    magnitude = F.when(exponent == 0, subnormal).when(exponent == 255, special).otherwise(normal)
+    fraction = F.shiftleft(high.bitwiseAND(F.lit(127)), 16).bitwiseOR(low)
+    finite = F.pow(F.lit(2.0), exponent - 127) * (1 + fraction / F.lit(8388608.0)) * sign
+    special = F.when(fraction == 0, F.lit(float("inf")) * sign).otherwise(F.lit(float("nan")))
+    value = F.when(exponent == 255, special).otherwise(finite)
     # Adding zero turns -0.0 into 0.0.
-    return F.bround(sign * magnitude, 2) + F.lit(0.0)
+    return F.rint(value * 100) / F.lit(100.0) + F.lit(0.0)
 
 
 def pack_u32(hi: Column | str, lo: Column | str) -> Column:
@@ -80,12 +84,14 @@ def pack_u32(hi: Column | str, lo: Column | str) -> Column:
 def seconds_to_hms(c: Column | str) -> Column:
     """Seconds as HH:MM:SS; hours are not wrapped at 24."""
     seconds = _col(c).cast("bigint")
-    return F.format_string(
-        "%02d:%02d:%02d",
-        F.floor(seconds / 3600),
-        F.floor(F.pmod(seconds, F.lit(3600)) / 60),
-        F.pmod(seconds, F.lit(60)),
-    )
+
+    def digits(n: Column) -> Column:
+        text = n.cast("string")
+        return F.when(n.between(0, 9), F.concat(F.lit("0"), text)).otherwise(text)
+
+    hours = F.floor(seconds / 3600)
+    minutes = F.floor(F.pmod(seconds, F.lit(3600)) / 60)
+    return F.concat(digits(hours), F.lit(":"), digits(minutes), F.lit(":"), digits(F.pmod(seconds, F.lit(60))))
 
 
 def hms_to_seconds(c: Column | str) -> Column:

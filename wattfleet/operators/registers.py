@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattfleet.functions.scalars import decode_float32, format_value, pack_u32, seconds_to_hms
-from wattfleet.operators.quality import COMM_FAILURE, NO_RESPONSE, OK
+from wattfleet.operators.quality import COMM_FAILURE, NO_RESPONSE, OK, UNSUPPORTED
 from wattfleet.schema import KINDS, NOT_AVAILABLE, PARAM_COLUMNS, register_map
 
 # Block number of the on-hours counter on models that read it apart.
@@ -73,20 +73,53 @@ def resolve_attempts(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def _word(address: Column, base: Column, offset: int) -> Column:
-    return F.get(F.col("words"), address - base + offset)
+class _Dump:
+    """Columns of a register dump joined with its map.
 
+    ``words`` is null unless the read succeeded and the model is known. Then ``fill``
+    is what every parameter gets: -1 or 0. An address of 0 lies before the dump, so
+    that a parameter the model lacks reads as null.
+    """
 
-def _hours(own: Column, apart: bool) -> Column:
-    """On-hours as text; a counter read apart has its own outcome."""
-    if not apart:
-        return own
-    separate = (
-        F.when(F.col("hours_outcome") == COMM_FAILURE, "-1")
-        .when(F.col("hours_outcome") == NO_RESPONSE, "0")
-        .otherwise(seconds_to_hms(pack_u32(F.get("hours_words", F.lit(0)), F.get("hours_words", F.lit(1)))))
-    )
-    return F.when(F.col("hours_apart") & F.col("hours_outcome").isNotNull(), separate).otherwise(own)
+    def __init__(self, df: DataFrame):
+        given = set(df.columns)
+        self.apart = {"hours_outcome", "hours_words"} <= given
+        joined = with_register_map(df)
+        outcome = F.when(F.col("addrs").isNull(), NO_RESPONSE).otherwise(F.lit(OK))
+        if "outcome" in given:
+            outcome = F.when(F.col("outcome") != OK, F.col("outcome")).otherwise(outcome)
+        self.frame = joined.withColumns(
+            {
+                "_outcome": outcome,
+                "_base": F.coalesce(F.col("base"), F.col("map_base")) if "base" in given else F.col("map_base"),
+            }
+        ).withColumns(
+            {
+                "_words": F.when(F.col("_outcome") == OK, F.col("words")),
+                "_fill": F.when(F.col("_outcome") == COMM_FAILURE, -1).when(F.col("_outcome") == NO_RESPONSE, 0),
+            }
+        )
+        consumed = {"words", "base", "outcome", "hours_outcome", "hours_words"}
+        self.kept = [c for c in df.columns if c not in consumed]
+
+    @staticmethod
+    def pair(address: Column) -> tuple[Column, Column]:
+        at = address - F.col("_base")
+        return F.get("_words", at), F.get("_words", at + 1)
+
+    def separate_hours(self) -> Column:
+        """True where the on-hours counter was read apart from the dump."""
+        if not self.apart:
+            return F.lit(False)
+        return F.col("hours_apart") & F.col("hours_outcome").isNotNull() & (F.col("_outcome") == OK)
+
+    def hours(self, address: Column) -> Column:
+        """On-hours in seconds, from the dump or from the separate read."""
+        own = pack_u32(*self.pair(address))
+        if not self.apart:
+            return own
+        words = pack_u32(F.get("hours_words", F.lit(0)), F.get("hours_words", F.lit(1)))
+        return F.when(self.separate_hours(), words).otherwise(own)
 
 
 def registers_to_params(df: DataFrame, params: list[str] | None = None) -> DataFrame:
@@ -97,33 +130,53 @@ def registers_to_params(df: DataFrame, params: list[str] | None = None) -> DataF
     everywhere, an unknown model 0 everywhere, a parameter the model lacks null.
     The map is joined by broadcast and all else is a projection, so nothing is shuffled.
     """
+    dump = _Dump(df)
     params = params or PARAM_COLUMNS
-    apart = {"hours_outcome", "hours_words"} <= set(df.columns)
-    failure = F.col("outcome") if "outcome" in df.columns else F.lit(OK)
-    joined = with_register_map(df)
-    base = F.coalesce(F.col("base"), F.col("map_base")) if "base" in df.columns else F.col("map_base")
+    frame = dump.frame
+    if "On_Hours" in params:
+        frame = frame.withColumn("_hours", dump.hours(F.col("addrs")[PARAM_COLUMNS.index("On_Hours")]))
 
     def decoded(c: str) -> Column:
         address = F.col("addrs")[PARAM_COLUMNS.index(c)]
         kind = KINDS.get(c, "float32")
         if kind == "float32":
-            sentinel = {s: F.lit(float(s)) for s in (-1, 0)}
-            value = decode_float32(_word(address, base, 0), _word(address, base, 1))
-        else:
-            value = pack_u32(_word(address, base, 0), _word(address, base, 1))
-            sentinel = {s: F.lit(s).cast("bigint") for s in (-1, 0)}
-        if kind == "hms":
-            sentinel = {s: F.lit(str(s)) for s in (-1, 0)}
-            value = _hours(seconds_to_hms(value), apart)
-        return (
-            F.when(failure == COMM_FAILURE, sentinel[-1])
-            .when((failure == NO_RESPONSE) | F.col("addrs").isNull(), sentinel[0])
-            .when(address != NOT_AVAILABLE, value)
-        )
+            return F.coalesce(decode_float32(*dump.pair(address)), F.col("_fill").cast("double"))
+        if kind == "u32":
+            return F.coalesce(pack_u32(*dump.pair(address)), F.col("_fill").cast("bigint"))
+        text = seconds_to_hms("_hours")
+        if dump.apart:
+            failed = F.when(F.col("hours_outcome") == COMM_FAILURE, "-1").when(F.col("hours_outcome") == NO_RESPONSE, "0")
+            text = F.when(dump.separate_hours(), F.coalesce(failed, text)).otherwise(text)
+        return F.coalesce(text, F.col("_fill").cast("string"))
+
+    return frame.select(*dump.kept, *[decoded(c).alias(c) for c in params])
+
 
-    consumed = {"words", "base", "outcome", "hours_outcome", "hours_words"}
-    kept = [c for c in df.columns if c not in consumed]
-    return joined.select(*kept, *[decoded(c).alias(c) for c in params])
+def registers_to_long(df: DataFrame) -> DataFrame:
+    """One row per reading and parameter: ``param, value, quality``, on-hours in seconds.
+
+    Input as for ``registers_to_params``. The value is null where the quality is not ``ok``.
+    """
+    dump = _Dump(df)
+    names = F.array(*[F.lit(c) for c in PARAM_COLUMNS])
+    # An unknown model has no addresses, and still one row per parameter.
+    addresses = F.coalesce("addrs", F.array_repeat(F.lit(NOT_AVAILABLE), len(PARAM_COLUMNS)))
+    cells = dump.frame.select(
+        *dump.kept, "_words", "_base", "_outcome", *(["hours_apart", "hours_outcome", "hours_words"] if dump.apart else []),
+        F.posexplode(addresses).alias("_pos", "_addr"),
+    ).withColumn("param", F.get(names, F.col("_pos")))
+    address, param = F.col("_addr"), F.col("param")
+    is_hours, is_counter = (param == c for c in ("On_Hours", "No_of_interruption"))
+    value = (
+        F.when(is_hours, dump.hours(address).cast("double"))
+        .when(is_counter, pack_u32(*dump.pair(address)).cast("double"))
+        .otherwise(decode_float32(*dump.pair(address)))
+    )
+    quality = F.when(F.col("_outcome") != OK, F.col("_outcome"))
+    if dump.apart:
+        quality = quality.when(is_hours & dump.separate_hours(), F.col("hours_outcome"))
+    quality = quality.when(address == NOT_AVAILABLE, UNSUPPORTED).otherwise(OK)
+    return cells.select(*dump.kept, "param", F.when(quality == OK, value).alias("value"), quality.alias("quality"))
 
 
 def registers_to_text(df: DataFrame, params: list[str] | None = None) -> DataFrame:

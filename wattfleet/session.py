@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The JVM does not compile methods past this size; decoding a register dump into
+    # 27 columns is faster as several small methods than as one large one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
