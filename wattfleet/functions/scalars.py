@@ -57,23 +57,30 @@ def format_value(c: Column | str) -> Column:
     )
 
 
-def decode_float32(lo: Column | str, hi: Column | str) -> Column:
-    """IEEE-754 single from two 16-bit words, low word first, rounded to 2 decimals.
+def float32_bits(lo: Column, hi: Column) -> Column:
+    """The 32 bits of two words, low word first, as an int."""
+    return F.shiftleft(hi.cast("int"), 16).bitwiseOR(lo.cast("int"))
+
+
+def decode_bits(bits: Column) -> Column:
+    """IEEE-754 single from its bits, rounded to 2 decimals.
 
     A zero exponent needs no case of its own: such numbers round to zero either way.
     A single times 100 is exact as a double, so rounding it to an integer decides halves
     on the exact value, to even.
     """
-    high = _col(hi).cast("bigint")
-    low = _col(lo).cast("bigint")
-    sign = 1 - 2 * F.shiftright(high, 15)
-    exponent = F.shiftright(high, 7).bitwiseAND(F.lit(255))
-    fraction = F.shiftleft(high.bitwiseAND(F.lit(127)), 16).bitwiseOR(low)
-    finite = F.pow(F.lit(2.0), exponent - 127) * (1 + fraction / F.lit(8388608.0)) * sign
-    special = F.when(fraction == 0, F.lit(float("inf")) * sign).otherwise(F.lit(float("nan")))
-    value = F.when(exponent == 255, special).otherwise(finite)
-    # Adding zero turns -0.0 into 0.0.
-    return F.rint(value * 100) / F.lit(100.0) + F.lit(0.0)
+    exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(255))
+    fraction = bits.bitwiseAND(F.lit(0x7FFFFF))
+    finite = F.pow(F.lit(2.0), exponent - 127) * (1 + fraction / F.lit(8388608.0))
+    special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    magnitude = F.rint(F.when(exponent == 255, special).otherwise(finite) * 100) / F.lit(100.0)
+    # Subtracting from zero, and not negating, leaves no -0.0.
+    return F.when(bits < 0, F.lit(0.0) - magnitude).otherwise(magnitude)
+
+
+def decode_float32(lo: Column | str, hi: Column | str) -> Column:
+    """IEEE-754 single from two 16-bit words, low word first, rounded to 2 decimals."""
+    return decode_bits(float32_bits(_col(lo), _col(hi)))
 
 
 def pack_u32(hi: Column | str, lo: Column | str) -> Column:

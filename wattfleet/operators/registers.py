@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattfleet.functions.scalars import decode_float32, format_value, pack_u32, seconds_to_hms
+from wattfleet.functions.scalars import decode_bits, decode_float32, float32_bits, format_value, pack_u32, seconds_to_hms
 from wattfleet.operators.quality import COMM_FAILURE, NO_RESPONSE, OK, UNSUPPORTED
 from wattfleet.schema import KINDS, NOT_AVAILABLE, PARAM_COLUMNS, register_map
 
@@ -131,25 +131,28 @@ def registers_to_params(df: DataFrame, params: list[str] | None = None) -> DataF
     The map is joined by broadcast and all else is a projection, so nothing is shuffled.
     """
     dump = _Dump(df)
-    params = params or PARAM_COLUMNS
-    frame = dump.frame
-    if "On_Hours" in params:
-        frame = frame.withColumn("_hours", dump.hours(F.col("addrs")[PARAM_COLUMNS.index("On_Hours")]))
+    base, position = F.col("_base"), PARAM_COLUMNS.index
+    # One expression over the array of addresses instead of one per parameter keeps the plan small.
+    bits = F.transform("addrs", lambda a: float32_bits(F.get("_words", a - base), F.get("_words", a - base + 1)))
+    frame = (
+        dump.frame.withColumn("_bits", bits)
+        .withColumn("_values", F.transform("_bits", decode_bits))
+        .withColumn("_hours", dump.hours(F.col("addrs")[position("On_Hours")]))
+    )
 
     def decoded(c: str) -> Column:
-        address = F.col("addrs")[PARAM_COLUMNS.index(c)]
         kind = KINDS.get(c, "float32")
         if kind == "float32":
-            return F.coalesce(decode_float32(*dump.pair(address)), F.col("_fill").cast("double"))
+            return F.coalesce(F.get("_values", F.lit(position(c))), F.col("_fill").cast("double"))
         if kind == "u32":
-            return F.coalesce(pack_u32(*dump.pair(address)), F.col("_fill").cast("bigint"))
+            return F.coalesce(pack_u32(*dump.pair(F.col("addrs")[position(c)])), F.col("_fill").cast("bigint"))
         text = seconds_to_hms("_hours")
         if dump.apart:
             failed = F.when(F.col("hours_outcome") == COMM_FAILURE, "-1").when(F.col("hours_outcome") == NO_RESPONSE, "0")
             text = F.when(dump.separate_hours(), F.coalesce(failed, text)).otherwise(text)
         return F.coalesce(text, F.col("_fill").cast("string"))
 
-    return frame.select(*dump.kept, *[decoded(c).alias(c) for c in params])
+    return frame.select(*dump.kept, *[decoded(c).alias(c) for c in (params or PARAM_COLUMNS)])
 
 
 def registers_to_long(df: DataFrame) -> DataFrame:

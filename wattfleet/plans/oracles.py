@@ -149,7 +149,7 @@ FROM events
 
 def _word(offset: int) -> str:
     """Formula of a register word, as in tables.register_dumps."""
-    return f"((l_partkey * 31 + {offset}) % 65536)" if offset % 2 == 0 else f"(16256 + (l_suppkey + {offset}) % 1000)"
+    return f"(16256 + (l_partkey * 31 + l_suppkey) % 700 + {offset})"
 
 
 def _cell(param: str, base: int, address: int, seconds: bool = False) -> str:
@@ -195,7 +195,11 @@ def registers_long() -> str:
             f"SELECT l_orderkey, l_linenumber, model, '{param}' AS param, CAST(CASE model {values} END AS DOUBLE) AS value, "
             f"CASE WHEN model = 'other' THEN 'no_response' {quality}ELSE 'ok' END AS quality FROM d"
         )
-    return f"{_with_model()} " + " UNION ALL ".join(parts)
+    cells = " UNION ALL ".join(parts)
+    return f"""{_with_model()}, cells AS ({cells})
+SELECT model, param, quality, count(*) AS readings, min(value) AS lowest, max(value) AS highest,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
+FROM cells GROUP BY model, param, quality"""
 
 
 def attempts() -> str:

@@ -180,7 +180,11 @@ def registers_to_params(spark, sf):
 
 @query(O.registers_long())
 def registers_to_long(spark, sf):
-    return G.registers_to_long(D.register_dumps(spark, sf)).select("l_orderkey", "l_linenumber", "model", "param", "value", "quality")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    return G.registers_to_long(D.register_dumps(spark, sf)).groupBy("model", "param", "quality").agg(
+        F.count(F.lit(1)).alias("readings"), F.min("value").alias("lowest"), F.max("value").alias("highest"),
+        F.sum(cents).alias("cents"),
+    )
 
 
 @query(O.attempts())

@@ -71,18 +71,14 @@ MODEL_CYCLE = ["LG6400", "EN8400", "EN8100", "EN8410", "LG+5220", "LG+5310", "EL
 
 
 def register_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dump of 248 words per line item; even words differ by part, odd ones by supplier."""
+    """A dump of 248 words per line item, rising by one from a start that differs by part and supplier."""
     line = table(spark, sf_dir, "lineitem")
-    word = F.transform(
-        F.sequence(F.lit(0), F.lit(247)),
-        lambda i: F.when(i % 2 == 0, (F.col("l_partkey") * 31 + i) % 65536)
-        .otherwise(16256 + (F.col("l_suppkey") + i) % 1000)
-        .cast("int"),
-    )
+    start = (16256 + (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 700).cast("int")
     models = F.array(*[F.lit(m) for m in MODEL_CYCLE])
     return line.select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        F.get(models, (F.col("l_partkey") % 8).cast("int")).alias("model"), word.alias("words"),
+        F.get(models, (F.col("l_partkey") % 8).cast("int")).alias("model"),
+        F.sequence(start, start + 247).alias("words"),
     )
 
 
