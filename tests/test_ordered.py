@@ -65,6 +65,26 @@ def test_crowded_buckets_are_cut(spark):
     assert sizes.agg(F.max("count")).first()[0] < 60
 
 
+def copies(n=900):
+    """A third of all rows are copies: one device, one time; the rest is spread."""
+    rows = random_events(6, n=n, with_null_times=False)
+    return [(1, T0, *r[2:]) if i % 3 == 0 else r for i, r in enumerate(rows)]
+
+
+def test_a_third_of_rows_as_copies(spark):
+    rows = copies()
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = with_slices(df, ["device"], "ts", "seq", 3600, 20).groupBy(*SLICE_COLUMNS).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 60
+    got = {r["seq"]: r["cycle"] for r in number_cycles(df, ["device"], "ts", "seq", 3600, 20).collect()}
+    assert got == {r[2]: i for h in histories(rows).values() for i, r in enumerate(h, 1)}
+    edges = transitions(df, ["device"], max_rows=20).collect()
+    expected = [b[2] for h in histories(rows).values() for a, b in zip(h, h[1:]) if b[3] and not a[3]]
+    assert sorted(r["seq"] for r in edges) == sorted(expected)
+    fired = throttle(df, ["device"], 600).collect()
+    assert sorted(r["seq"] for r in fired) == sorted(brute_throttle(rows, 600, False))
+
+
 @pytest.mark.parametrize("initial", [None, False, True])
 @pytest.mark.parametrize("seed,max_rows", [(1, 2_000_000), (2, 5), (3, None)])
 def test_transitions(spark, seed, max_rows, initial):

@@ -33,45 +33,73 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.coalesce(F.floor(micros(ts) / F.lit(seconds * 1_000_000)), F.lit(_NO_TIME))
 
 
+# Past the last part of a group that is cut at its median.
+_ABOVE = 2**62
+
+# How crowded groups are cut, one level after the other.
+_LEVELS = ["even", "even", "median"]
+
+
+def _crowded(df: DataFrame, group: list[str], ts: str, seq: str, max_rows: int, level: int) -> DataFrame:
+    """Groups of more than ``max_rows`` rows and where to cut them, as column ``_cut<level>``."""
+    time = micros(ts)
+    cut_at = {"even": F.min(time), "median": F.percentile_approx(time, 0.5)}[_LEVELS[level]]
+    counted = df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max(time).alias("_t1"),
+        F.min(seq).cast("bigint").alias("_s0"),
+        F.max(seq).cast("bigint").alias("_s1"),
+        cut_at.alias("_t0"),
+    )
+    parts = F.ceil(F.col("_n") / max_rows)
+    width = lambda lo, hi: F.ceil((F.col(hi) - F.col(lo) + 1) / parts)
+    cut = F.struct(
+        F.col("_t0").alias("t0"),
+        width("_t0", "_t1").alias("t_width"),
+        (F.col("_t1") > F.col("_t0")).alias("by_time"),
+        F.col("_s0").alias("s0"),
+        width("_s0", "_s1").alias("s_width"),
+    )
+    return counted.where(F.col("_n") > max_rows).select(*group, cut.alias(f"_cut{level}"))
+
+
+def _part(ts: str, seq: str, level: int) -> Column:
+    """Part of its group that a row belongs to; 0 where the group is not crowded."""
+    cut = f"_cut{level}."
+    time = micros(ts)
+    by_seq = F.floor((F.col(seq).cast("bigint") - F.col(f"{cut}s0")) / F.col(f"{cut}s_width"))
+    if _LEVELS[level] == "even":
+        by_time = F.floor((time - F.col(f"{cut}t0")) / F.col(f"{cut}t_width"))
+        part = F.when(F.col(f"{cut}by_time"), by_time).otherwise(by_seq)
+    else:
+        part = F.when(time < F.col(f"{cut}t0"), -1).when(time > F.col(f"{cut}t0"), _ABOVE).otherwise(by_seq)
+    return F.coalesce(part, F.lit(0)).cast("bigint")
+
+
 def with_slices(
     df: DataFrame, keys: list[str], ts: str, seq: str, seconds: int = 3600, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Add ``_key`` and ``_slice``; slices sort in the order of ``(ts, seq)``.
 
     A slice is a time bucket of fixed width. A bucket with more than ``max_rows``
-    rows of one key is cut further, evenly by time, or by ``seq`` where all its
-    times are equal. There are at most ``rows / max_rows`` such buckets, which
-    bounds the broadcast table. ``max_rows=None`` leaves the buckets whole.
+    rows of one key is cut further: evenly by time; a part that is still crowded evenly
+    by time again; then at its median, where rows that share the median time, such as
+    copies, are cut by ``seq``. Groups of that size number at most ``rows / max_rows``,
+    which bounds the broadcast tables. Where there are none, the adaptive planner drops
+    the later counts and the joins. ``max_rows=None`` leaves the buckets whole.
     """
-    bucketed = df.withColumn(KEY, key_struct(keys)).withColumn("_bucket", time_bucket(ts, seconds))
+    group = [KEY, "_bucket"]
+    parts = [f"_part{level}" for level in range(len(_LEVELS))]
+    sliced = df.withColumn(KEY, key_struct(keys)).withColumn("_bucket", time_bucket(ts, seconds))
     if max_rows is None:
-        return bucketed.withColumn(SLICE, F.struct("_bucket", F.lit(0).cast("bigint").alias("part"))).drop("_bucket")
-    crowded = (
-        bucketed.groupBy(KEY, "_bucket")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(micros(ts)).alias("_t0"),
-            F.max(micros(ts)).alias("_t1"),
-            F.min(seq).cast("bigint").alias("_s0"),
-            F.max(seq).cast("bigint").alias("_s1"),
-        )
-        .where(F.col("_n") > max_rows)
-        .withColumn("_parts", F.ceil(F.col("_n") / max_rows))
-        .select(
-            KEY,
-            "_bucket",
-            (F.col("_t1") > F.col("_t0")).alias("_by_time"),
-            "_t0",
-            F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.col("_parts")).alias("_t_step"),
-            "_s0",
-            F.ceil((F.col("_s1") - F.col("_s0") + 1) / F.col("_parts")).alias("_s_step"),
-        )
-    )
-    part = F.when(F.col("_by_time"), F.floor((micros(ts) - F.col("_t0")) / F.col("_t_step"))).otherwise(
-        F.floor((F.col(seq).cast("bigint") - F.col("_s0")) / F.col("_s_step"))
-    )
-    return (
-        bucketed.join(F.broadcast(crowded), [KEY, "_bucket"], "left")
-        .withColumn(SLICE, F.struct("_bucket", F.coalesce(part, F.lit(0)).alias("part")))
-        .drop("_bucket", "_by_time", "_t0", "_t_step", "_s0", "_s_step")
-    )
+        sliced = sliced.withColumns({p: F.lit(0).cast("bigint") for p in parts})
+    else:
+        crowded_rows = sliced
+        for level, name in enumerate(parts):
+            cuts = F.broadcast(_crowded(crowded_rows, group, ts, seq, max_rows, level))
+            part = _part(ts, seq, level)
+            # Only rows of crowded groups are counted at the next level.
+            crowded_rows = crowded_rows.join(cuts, group).withColumn(name, part).drop(f"_cut{level}")
+            sliced = sliced.join(cuts, group, "left").withColumn(name, part).drop(f"_cut{level}")
+            group = [*group, name]
+    return sliced.withColumn(SLICE, F.struct("_bucket", *parts)).drop("_bucket", *parts)
