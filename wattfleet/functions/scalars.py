@@ -5,56 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_INTEGER = r"^[+-]?\d+$"
+# Digits may be grouped by single underscores; white space around a number does not count.
+_DIGITS = r"\d+(?:_\d+)*"
+_NUMBER = rf"^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
+_INTEGER = rf"^\s*[+-]?{_DIGITS}\s*$"
+_PLAIN_TIME = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
 _TIME = r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$"
 _HMS = r"^(\d+):([0-5]?\d):([0-5]?\d)$"
 
+_NUMERIC_TYPES = ["double", "float", "int", "bigint", "smallint", "tinyint"]
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _number_text(text: Column) -> Column:
-    """Trimmed text without digit separators, ready for the numeric test."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.regexp_replace(trimmed, r"(?<=\d)_(?=\d)", "")
-
-
 def to_number(c: Column | str) -> Column:
     """Text to double; null where it is not a plain decimal number."""
-    text = _number_text(_col(c).cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    text = _col(c).cast("string")
+    return F.when(text.rlike(_NUMBER), F.translate(text, "_", "").try_cast("double"))
 
 
 def to_integer(c: Column | str) -> Column:
     """Text to int; null where it is not a whole number or does not fit."""
-    text = _number_text(_col(c).cast("string"))
-    return F.when(text.rlike(_INTEGER), text.try_cast("int"))
+    text = _col(c).cast("string")
+    return F.when(text.rlike(_INTEGER), F.trim(F.translate(text, "_", "")).try_cast("int"))
+
+
+def _number_text(number: Column) -> Column:
+    """Whole numbers without decimals, others with two, halves to even."""
+    size = F.abs(number)
+    whole = F.when(size < F.lit(9.2e18), number.cast("bigint").cast("string")).otherwise(
+        number.try_cast("decimal(38,0)").cast("string")
+    )
+    cents = F.rint(size * 100).cast("bigint")
+    small = F.concat(
+        F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")
+    )
+    large = F.bround(size, 2).try_cast("decimal(38,2)").cast("string")
+    # A small negative number keeps its sign although it prints as zero.
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.when(number == F.floor(number), whole).otherwise(
+        F.concat(sign, F.when(size < F.lit(1e12), small).otherwise(large))
+    )
 
 
 def format_value(c: Column | str) -> Column:
     """Cell text: whole numbers without decimals, others with two, anything else unchanged.
 
-    Halves round to even. Values past 2**63 print the digits of their shortest form.
+    Values past 2**63 print the digits of their shortest form.
     """
     value = _col(c)
     text = value.cast("string")
-    number = to_number(value)
-    whole = F.when(F.abs(number) < F.lit(9.2e18), F.floor(number).cast("string")).otherwise(
-        number.try_cast("decimal(38,0)").cast("string")
-    )
-    cents = F.bround(number, 2).try_cast("decimal(38,2)").cast("string")
-    # A small negative number keeps its sign although it prints as zero.
-    cents = F.when((number < 0) & (cents == "0.00"), F.lit("-0.00")).otherwise(cents)
-    is_nan = F.typeof(value).isin("double", "float") & (text == "NaN")
-    return (
-        F.when(number.isNotNull(), F.coalesce(F.when(number == F.floor(number), whole).otherwise(cents), text))
-        .when(text == "Infinity", F.lit("inf"))
-        .when(text == "-Infinity", F.lit("-inf"))
-        .when(is_nan, F.lit("nan"))
-        .otherwise(text)
-    )
+    other = F.when(text == "Infinity", F.lit("inf")).when(text == "-Infinity", F.lit("-inf"))
+    # The type test is a constant; the optimizer keeps one branch only.
+    number = value.try_cast("double")
+    infinite = F.abs(number) == F.lit(float("inf"))
+    from_number = F.when(F.isnan(number), F.lit("nan")).when(infinite, other).otherwise(_number_text(number))
+    # The one-element array binds the parsed number, which would be parsed at every use otherwise.
+    parsed = F.get(F.transform(F.array(to_number(text)), _number_text), F.lit(0))
+    from_text = F.coalesce(parsed, other, text)
+    return F.when(F.typeof(value).isin(*_NUMERIC_TYPES), from_number).otherwise(from_text)
 
 
 def float32_bits(lo: Column, hi: Column) -> Column:
@@ -115,9 +126,10 @@ def sanitize_key(c: Column | str) -> Column:
 
 def parse_reading_time(c: Column | str) -> Column:
     """Reading time; null where the text is not a valid date and time."""
-    text = F.regexp_replace(_col(c), r"\s+", " ")
-    parsed = F.try_to_timestamp(text, F.lit("y-M-d H:m:s")).cast("timestamp_ntz")
-    return F.when(_col(c).rlike(_TIME), parsed)
+    text = _col(c)
+    return F.when(text.rlike(_PLAIN_TIME), text.try_cast("timestamp_ntz")).when(
+        text.rlike(_TIME), F.regexp_replace(text, r"\s+", " ").try_cast("timestamp_ntz")
+    )
 
 
 def date_key(c: Column | str) -> Column:
@@ -129,10 +141,11 @@ def json_path(c: Column | str, path: str) -> Column:
     """Value at a dotted path as text; empty where missing, null, an object or an array."""
     text = _col(c)
     json_query = "$" + "".join(f"['{part}']" for part in path.split("."))
-    found = F.try_variant_get(F.try_parse_json(text), json_query, "variant")
-    scalar = ~F.schema_of_variant(found).rlike("^(OBJECT|ARRAY|VOID)")
     value = F.get_json_object(text, json_query)
-    return F.when(scalar & value.isNotNull(), value).otherwise(F.lit(""))
+    # A string may look like an object; only then is its type looked up.
+    found = F.try_variant_get(F.try_parse_json(text), json_query, "variant")
+    nested = value.rlike(r"^[{\[]") & F.schema_of_variant(found).rlike("^(OBJECT|ARRAY)")
+    return F.when(value.isNull() | nested, F.lit("")).otherwise(value)
 
 
 def first_filled(fields: Column | str, *names: str) -> Column:

@@ -48,9 +48,8 @@ def drop_malformed(df: DataFrame, corrupt: str = CORRUPT) -> DataFrame:
 
 def _all_equal(df: DataFrame, params: list[str], value: int) -> Column:
     types = dict(df.dtypes)
-    tests = [
-        to_number(c) == value if types[c] == "string" else F.col(c) == F.lit(value).cast(types[c]) for c in params
-    ]
+    texts = [f"{value}", f"{value}.0", f"{value}.00"]
+    tests = [F.col(c).isin(texts) if types[c] == "string" else F.col(c) == F.lit(value).cast(types[c]) for c in params]
     return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
 
