@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattfleet.operators import cooldown as C
-from wattfleet.operators.cooldown import throttle
+from wattfleet.operators.cooldown import slice_width, throttle
 from wattfleet.operators.cycles import cycle_counts, cycle_every, number_cycles
 from wattfleet.operators.latest import latest_by, latest_per_device, latest_source, tail_n, union_sites
 from wattfleet.operators.slices import SLICE_COLUMNS, with_slices
@@ -81,8 +81,9 @@ def test_a_third_of_rows_as_copies(spark):
     edges = transitions(df, ["device"], max_rows=20).collect()
     expected = [b[2] for h in histories(rows).values() for a, b in zip(h, h[1:]) if b[3] and not a[3]]
     assert sorted(r["seq"] for r in edges) == sorted(expected)
-    fired = throttle(df, ["device"], 600).collect()
-    assert sorted(r["seq"] for r in fired) == sorted(brute_throttle(rows, 600, False))
+    for bypass in (None, "force"):
+        fired = throttle(df, ["device"], 600, bypass=bypass, max_rows=20).collect()
+        assert sorted(r["seq"] for r in fired) == sorted(brute_throttle(rows, 600, bypass is not None))
 
 
 @pytest.mark.parametrize("initial", [None, False, True])
@@ -176,6 +177,10 @@ def test_throttle_resumes_from_state(spark):
     assert sorted(got) == sorted(brute_throttle(rows, 600, False))
 
 
+def test_slice_width():
+    assert [slice_width(c) for c in (0.5, 5, 600, 43_200, 86_400)] == [3600, 3600, 38_400, 172_800, 345_600]
+
+
 def test_step_functions_compose():
     rng = np.random.default_rng(1)
     for _ in range(300):

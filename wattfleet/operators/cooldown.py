@@ -17,17 +17,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattfleet.functions.scalars import micros
-from wattfleet.operators.slices import KEY, SLICE, SLICE_COLUMNS, with_slices
+from wattfleet.operators.slices import KEY, MAX_ROWS, key_struct, time_bucket
 
 NEVER = -(2**62)  # state of a key that has let nothing through yet
 ALWAYS = 2**62  # entry of an event that passes whatever the threshold
 
-# Slices are this many cooldowns wide, but no shorter than an hour.
-SLICE_COOLDOWNS = 16
+
+def slice_width(cooldown_seconds: float) -> int:
+    """Width of a slice in seconds: a day if that is 4 to 64 cooldowns, and at least an hour.
+
+    A slice's step function has at most one entry per event of its first cooldown, so
+    that slices of few cooldowns have large summaries and those of many split less.
+    """
+    day, hour = 86_400, 3_600
+    return int(max(4 * cooldown_seconds, min(64 * cooldown_seconds, day), hour))
 
 
 def group_starts(batch: pa.RecordBatch, columns: list[str], previous: tuple | None) -> tuple[np.ndarray, tuple]:
@@ -237,6 +244,25 @@ def _fire(cooldown: int, columns: list[str]):
     return run
 
 
+def _without_repeated_times(rows: DataFrame, seq: str, max_rows: int) -> DataFrame:
+    """Drop rows that cannot pass from crowded slices: of the rows of a key at one time, without a bypass,
+    only the first can. The rank filter works before the shuffle, so copies of a row are not moved.
+
+    There are at most ``rows / max_rows`` crowded slices, which bounds the broadcast table; where there
+    are none, the adaptive planner drops the branches for them.
+    """
+    group = ["_k", "_b"]
+    crowded = F.broadcast(
+        rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows).select(*group)
+    )
+    affected = rows.join(crowded, group, "left_semi")
+    first = Window.partitionBy(*group, "_t").orderBy(seq)
+    firsts = (
+        affected.where(~F.col("_bypass")).withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    )
+    return rows.join(crowded, group, "left_anti").unionByName(firsts).unionByName(affected.where("_bypass"))
+
+
 def throttle(
     df: DataFrame,
     keys: list[str],
@@ -246,34 +272,37 @@ def throttle(
     bypass: str | None = None,
     state: DataFrame | None = None,
     slice_seconds: int | None = None,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Rows let through: the first of a key, those at least the cooldown after the last one let through, and
     those whose ``bypass`` column is true. Rows without a time never pass.
 
-    ``state`` may hold ``keys`` and ``last_fired`` from an earlier run.
+    ``state`` may hold ``keys`` and ``last_fired`` from an earlier run; all rows must be later than that.
     """
     cooldown = round(cooldown_seconds * 1_000_000)
-    width = slice_seconds or max(3600, int(SLICE_COOLDOWNS * cooldown_seconds))
+    timed = df.where(F.col(ts).isNotNull())
+    if cooldown <= 0:
+        return timed
     columns = df.columns
     # Key text and bucket number are enough to tell slices apart inside a task.
     key_text = F.to_json(KEY, {"ignoreNullFields": "false"})
     sliced = (
-        with_slices(df.where(F.col(ts).isNotNull()), keys, ts, seq, width, max_rows=None)
+        timed.withColumn(KEY, key_struct(keys))
         .withColumn("_k", key_text)
-        .withColumn("_b", F.col(f"{SLICE}._bucket"))
+        .withColumn("_b", time_bucket(ts, slice_seconds or slice_width(cooldown_seconds)))
         .withColumn("_t", micros(ts))
         .withColumn("_bypass", F.coalesce(F.col(bypass), F.lit(False)) if bypass else F.lit(False))
-        .drop(*SLICE_COLUMNS)
+        .drop(KEY)
     )
-    ordered = ["_k", "_b", "_t", seq]
+    candidates = _without_repeated_times(sliced, seq, max_rows)
     steps = (
-        sliced.select("_k", "_b", "_t", "_bypass", F.col(seq).alias("_seq"))
+        candidates.select("_k", "_b", "_t", "_bypass")
         .repartition("_k", "_b")
-        .sortWithinPartitions("_k", "_b", "_t", "_seq")
+        .sortWithinPartitions("_k", "_b", "_t")
         .mapInArrow(_summarise(cooldown), "_k string, _b bigint, _entry bigint, _result bigint")
     )
     if state is not None:
-        given = state.withColumn(KEY, F.struct(*keys)).select(
+        given = state.withColumn(KEY, key_struct(keys)).select(
             key_text.alias("_k"),
             F.lit(None).cast("bigint").alias("_b"),
             F.lit(None).cast("bigint").alias("_entry"),
@@ -286,11 +315,11 @@ def throttle(
         .mapInArrow(_thread(cooldown), "_k string, _b bigint, _state bigint")
     )
     # Markers travel with the rows of their slice, which spares a join.
-    marked = sliced.withColumn("_state", F.lit(None).cast("bigint")).unionByName(
+    marked = candidates.withColumn("_state", F.lit(None).cast("bigint")).unionByName(
         states.withColumn("_bypass", F.lit(False)), allowMissingColumns=True
     )
     return (
         marked.repartition("_k", "_b")
-        .sortWithinPartitions("_k", "_b", F.col("_state").asc_nulls_last(), *ordered[2:])
+        .sortWithinPartitions("_k", "_b", F.col("_state").asc_nulls_last(), "_t", seq)
         .mapInArrow(_fire(cooldown, columns), df.schema)
     )
