@@ -48,7 +48,7 @@ def _split_late(
 def _run(
     stream: DataFrame,
     folder: str,
-    step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]],
+    step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
     keys: list[str],
     ts: str,
     seq: str,
@@ -60,9 +60,12 @@ def _run(
         batch = batch.persist()
         try:
             rows, late = _split_late(batch, state, keys, ts, seq)
-            results, after = step(rows, state)
-            results.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
+            results, state_after = step(rows, state)
+            written = f"{folder}/results/batch={batch_id}"
+            results.write.mode("overwrite").parquet(written)
             late.write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+            # The state comes from the stored results, so they are computed once.
+            after = state_after(spark.read.schema(results.schema).parquet(written))
             after.write.mode("overwrite").parquet(_slot(folder, batch_id + 1))
         finally:
             batch.unpersist()
@@ -83,7 +86,7 @@ def transition_stream(
 ) -> StreamingQuery:
     """Changes of ``up`` from false to true, written to ``folder/results``."""
 
-    def step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def step(rows: DataFrame, state: DataFrame | None):
         known = rows.withColumn("_carried", F.lit(False))
         if state is not None:
             carried = state.select(
@@ -95,7 +98,7 @@ def transition_stream(
         after = latest_by(known.select(*keys, up, ts, seq), keys, [ts, seq]).select(
             *keys, F.col(up).alias("last_up"), F.col(ts).alias("last_ts"), F.col(seq).alias("last_seq")
         )
-        return edges, after
+        return edges, lambda written: after
 
     return _run(stream, folder, step, keys, ts, seq, interval)
 
@@ -112,20 +115,18 @@ def throttle_stream(
 ) -> StreamingQuery:
     """Rows that the cooldown lets through, written to ``folder/results``."""
 
-    def step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        fired = throttle(rows, keys, cooldown_seconds, ts, seq, bypass, state)
-        none = F.lit(None)
-        seen = rows.select(*keys, F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq")).alias("_at"),
-                           none.cast("timestamp_ntz").alias("_fired"))
-        passed = fired.select(*keys, F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq")).alias("_at"),
-                              F.col(ts).cast("timestamp_ntz").alias("_fired"))
-        parts = seen.unionByName(passed)
-        if state is not None:
-            parts = parts.unionByName(state.select(
-                *keys, F.struct(F.col("last_ts").alias("ts"), F.col("last_seq").alias("seq")).alias("_at"),
-                F.col("last_fired").alias("_fired")))
-        after = parts.groupBy(*keys).agg(F.max("_at").alias("_at"), F.max("_fired").alias("last_fired")).select(
-            *keys, F.col("_at.ts").alias("last_ts"), F.col("_at.seq").alias("last_seq"), "last_fired")
-        return fired, after
+    def step(rows: DataFrame, state: DataFrame | None):
+        def at(df: DataFrame, time: str, number: str, fired) -> DataFrame:
+            place = F.struct(F.col(time).alias("ts"), F.col(number).alias("seq"))
+            return df.select(*keys, place.alias("_at"), fired.cast("timestamp_ntz").alias("_fired"))
+
+        def after(written: DataFrame) -> DataFrame:
+            parts = at(rows, ts, seq, F.lit(None)).unionByName(at(written, ts, seq, F.col(ts)))
+            if state is not None:
+                parts = parts.unionByName(at(state, "last_ts", "last_seq", F.col("last_fired")))
+            newest = parts.groupBy(*keys).agg(F.max("_at").alias("_at"), F.max("_fired").alias("last_fired"))
+            return newest.select(*keys, F.col("_at.ts").alias("last_ts"), F.col("_at.seq").alias("last_seq"), "last_fired")
+
+        return throttle(rows, keys, cooldown_seconds, ts, seq, bypass, state), after
 
     return _run(stream, folder, step, keys, ts, seq, interval)
