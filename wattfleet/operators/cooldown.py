@@ -61,21 +61,6 @@ def next_passing(ts: np.ndarray, bypass: np.ndarray, cooldown: int) -> np.ndarra
     return np.minimum(by_time, next_mark)
 
 
-def passing(ts: np.ndarray, bypass: np.ndarray, cooldown: int, threshold: int) -> np.ndarray:
-    """Mask of the events that pass, given the threshold before the first one."""
-    n = len(ts)
-    mask = np.zeros(n, dtype=bool)
-    start = int(np.searchsorted(ts, threshold, side="left"))
-    marks = np.flatnonzero(bypass[:start])
-    if len(marks):
-        start = int(marks[0])
-    step = next_passing(ts, bypass, cooldown).tolist()
-    while start < n:
-        mask[start] = True
-        start = step[start]
-    return mask
-
-
 def step_function(ts: np.ndarray, bypass: np.ndarray, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
     """Entries and results of a stretch: a threshold leads to the result of the first entry not below it."""
     n = len(ts)
@@ -219,27 +204,19 @@ def _fire(cooldown: int, columns: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            starts, last = group_starts(batch, ["_k", "_b"], current)
-            marker = batch.column("_state").is_valid().to_numpy(zero_copy_only=False)
-            given = batch.column("_state").fill_null(NEVER).to_numpy()
-            ts, bypass = batch.column("_t").fill_null(NEVER).to_numpy(), _bypasses(batch)
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            starts, current = group_starts(batch, ["_k", "_b"], current)
             fresh = set(starts.tolist())
-            bounds = sorted({0, *fresh}) + [batch.num_rows]
-            for lo, hi in zip(bounds, bounds[1:]):
-                if lo in fresh:
+            given = batch.column("_state").to_pylist()
+            ts, bypass = batch.column("_t").to_pylist(), _bypasses(batch).tolist()
+            keep = [False] * batch.num_rows
+            for i, t in enumerate(ts):
+                if i in fresh:
                     state = NEVER
-                if marker[lo]:
-                    state = int(given[lo])
-                    lo += 1
-                if lo == hi:
-                    continue
-                threshold = NEVER if state == NEVER else state + cooldown
-                keep[lo:hi] = passing(ts[lo:hi], bypass[lo:hi], cooldown, threshold)
-                if keep[lo:hi].any():
-                    state = int(ts[lo:hi][keep[lo:hi]][-1])
-            current = last
-            yield batch.filter(pa.array(keep)).select(columns)
+                if given[i] is not None:
+                    state = given[i]
+                elif bypass[i] or state == NEVER or t - state >= cooldown:
+                    keep[i], state = True, t
+            yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
 
     return run
 
