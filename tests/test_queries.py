@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from compare import connect, run
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from wattfleet.plans.queries import ORACLES as SQL
+from wattfleet.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,10 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
     rows, _, problem = run(spark, sf_dir, name, QUERIES[name], SQL[name], con)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Meter clocks carry no zone, so every timestamp is handled as a UTC wall clock.
 SETTINGS = {
@@ -36,14 +38,42 @@ def get_session(app_name: str = "wattfleet", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session's executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="wattfleet-")) / "wattfleet.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for streaming state and tables that several jobs share.
+    """A fresh folder for tables that several jobs, and all executors, share.
 
-    It lies below ``spark.checkpoint.dir``, which every executor can reach. Only
-    where that is unset, as in a local test, does a temporary folder serve.
+    It lies below ``spark.checkpoint.dir``. Where that is unset, a temporary folder
+    serves a session whose tasks all run in this process; any other session raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if root:
+        return f"{root.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    if spark.conf.get("spark.master", "").split("[")[0] == "local":
         return tempfile.mkdtemp(prefix=f"{name}-")
-    token = os.urandom(8).hex()
-    return f"{root.rstrip('/')}/{name}-{token}"
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once to a fresh shared folder and read from there.
+
+    Cuts the lineage: a lost executor costs a read of the files, not the work before them.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
