@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfleet.llm import decontaminate, quality, simhash, sql
+from wattfleet.llm import decontaminate, lines, packing, quality, simhash, sql
 from wattfleet.session import ship_package
 
 
@@ -34,10 +35,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"stats.{c}") for c in counts], "base_failed", "kept", "probability")
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lines": op2_lines,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality": op6_quality,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {
