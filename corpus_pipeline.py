@@ -2,23 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattfleet.llm import simhash
+from wattfleet.llm import decontaminate, lines, packing, quality, simhash
 from wattfleet.session import ship_package, stored
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and are good by the posterior of all rules' votes."""
+    ship_package(spark)
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that repeat or nearly repeat; a document left without any line goes."""
+    ship_package(spark)
+    found = lines.dedup_lines(docs)
+    left = found.where("n_lines = 0 or n_removed < n_lines")
+    changed = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints are linked at three or fewer differing bits."""
     ship_package(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, shingle=3, max_distance=3)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with less than a twentieth of their words in passages of the benchmark."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their token ids and their places in sequences of 4096."""
+    ship_package(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
 STAGES = [
-    ("simhash_near_dedup", near_dedup),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack_sequences),
 ]
 
-# Several stages have no SQL form: fingerprints by XXH64, MinHash components, tokens.
+# Posteriors of an iterated model, MinHash components, fingerprints and token ids have no SQL form.
 ORACLE_SQL = None
 
 
