@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfleet.llm import decontaminate, lines, packing, quality, simhash, sql
+from wattfleet.llm import chat, decontaminate, lines, packing, quality, simhash, sql
 from wattfleet.session import ship_package
 
 
@@ -21,6 +21,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A conversation of control strings beside those of the table.
+    marks = spark.sql(
+        "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text "
+        "FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marks)
+    read = chat.format_chats(rows).select(
+        "conv_id", "formatted", chat.turns(F.col("formatted")).alias("turns"),
+        F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+    )
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
     return found.select(
@@ -50,11 +69,13 @@ def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
+    "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality": op6_quality,
     "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat": sql.OP3,
     "op4_decontaminate": sql.OP4,
 }

@@ -5,6 +5,25 @@ _WORDS = (
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+OP3 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+told AS (
+  SELECT *, lag(role) OVER w IS DISTINCT FROM role AS opens,
+    regexp_replace(role, '([<\[])(\\*)(/?s>|turn>|/?INST\])', '\1\\\2\3', 'g') AS role_out,
+    regexp_replace(text, '([<\[])(\\*)(/?s>|turn>|/?INST\])', '\1\\\2\3', 'g') AS text_out
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text_out) + CASE WHEN opens THEN length('<s>[INST]' || role_out || '[/INST]' || '</s>') ELSE length('<turn>') END)::BIGINT
+    AS formatted_chars
+FROM told GROUP BY conv_id
+"""
+
 OP4 = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
