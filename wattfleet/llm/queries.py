@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfleet.llm import chat, decontaminate, lines, packing, quality, simhash, sql
+from wattfleet.llm import chat, decontaminate, licenses, lines, packing, quality, simhash, sql
 from wattfleet.session import ship_package
 
 
@@ -59,6 +59,15 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"),
+        F.array_max("places").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2)
     return pieces.select(
@@ -72,6 +81,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op9_packing": op9_packing,
 }
 
