@@ -10,10 +10,10 @@ is dropped, so that of the rules that see the same notice the most telling one s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from wattfleet.llm.arrays import matches
 from wattfleet.llm.decontaminate import words
 from wattfleet.session import stored
 
@@ -110,22 +110,13 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 def _places(line: Column, pattern: Column) -> Column:
     """First and last word of each match of a pattern in words joined and framed by spaces."""
-    found = F.regexp_extract_all(line, pattern, F.lit(0))
-    gaps = F.split(line, pattern, -1)
 
     def spaces(text: Column) -> Column:
         return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
-    empty = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    start = F.struct(F.lit(-1).cast("long").alias("word"), empty.alias("places"))
-
-    def step(at: Column, pair: Column) -> Column:
-        first = at["word"] + spaces(pair["gap"])
-        last = first + spaces(pair["match"])
-        return F.struct(last.alias("word"), F.concat(at["places"], F.array(F.struct(first.alias("first"), last.alias("last")))).alias("places"))
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, start, step)["places"]
+    return F.transform(matches(line, pattern, spaces), lambda m: F.struct(
+        (m["start"] - 1).alias("first"), (m["end"] - 1).alias("last")
+    ))
 
 
 def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

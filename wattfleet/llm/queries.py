@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfleet.llm import chat, decontaminate, licenses, lines, packing, quality, simhash, sql
+from wattfleet.llm import chat, decontaminate, licenses, lines, packing, pii, quality, simhash, sql
 from wattfleet.session import ship_package
 
 
@@ -68,6 +68,21 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+
+    def listed(column: str, kind: str) -> Column:
+        return F.transform(column, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+
+    base = F.concat(*[listed(kind, kind) for kind in pii.KINDS])
+
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, listed("found", pii.FOUND)), ",").alias("spans"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2)
     return pieces.select(
@@ -82,6 +97,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
+    "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
 }
 
