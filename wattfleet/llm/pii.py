@@ -132,9 +132,9 @@ def _instances(spans: DataFrame) -> DataFrame:
         *key, F.col("k.start").alias("start"), F.col("k.start").alias("known_start"), F.col("k.end").alias("known_end")
     )
     rows = tokens.unionByName(places, allowMissingColumns=True)
-    order = Window.partitionBy(*key).orderBy("start")
-    until = F.max("known_end").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    onward = F.min("known_start").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Frames that grow from one end cost a row each; one that shrinks is computed anew for every row.
+    until = F.max("known_end").over(Window.partitionBy(*key).orderBy("start"))
+    onward = F.min("known_start").over(Window.partitionBy(*key).orderBy(F.desc("start")))
     touched = F.coalesce(until > F.col("start"), F.lit(False)) | F.coalesce(onward < F.col("end"), F.lit(False))
     return rows.withColumn("seed", touched.cast("int")).where("token is not null").drop("known_start", "known_end")
 

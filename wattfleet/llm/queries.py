@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfleet.llm import chat, decontaminate, licenses, lines, packing, pii, quality, simhash, sql
+from wattfleet.llm import chat, decontaminate, licenses, lines, packing, pii, quality, simhash, sql, substrings
 from wattfleet.session import ship_package
 
 
@@ -90,6 +90,11 @@ def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     )
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
@@ -99,6 +104,7 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLES: dict[str, str] = {
