@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfleet.llm import chat, decontaminate, licenses, lines, packing, pii, quality, simhash, sql, substrings
+from wattfleet.llm import chat, decontaminate, licenses, lines, packing, pii, quality, simhash, sql, substrings, token_files
 from wattfleet.session import ship_package
 
 
@@ -48,6 +48,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = token_files.write_tokens(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    read = token_files.read_tokens(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(_table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -100,6 +107,7 @@ QUERIES = {
     "op2_lines": op2_lines,
     "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
+    "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
     "op8_personal_data": op8_personal_data,
