@@ -117,3 +117,9 @@ def test_zip_params(spark):
 def test_integers(spark):
     assert column(spark, ["7", " 8 ", "x1", "1.5", "", None, "99999999999", "1_0"], "string", W.to_integer) == [
         7, 8, None, None, None, None, None, 10]
+
+
+def test_format_value_of_any_size(spark):
+    big = [1e15, 2.0**53, 2.0**62, 2.0**63, 2.0**64, 1e20, 2.0**70, 1.5e38, 3e38, 3.4e38, 1e39, 1e300]
+    values = [v for b in big for v in (b, -b)]
+    assert column(spark, values, "double", W.format_value) == [str(int(v)) for v in values]

@@ -32,20 +32,47 @@ def to_integer(c: Column | str) -> Column:
     return F.when(text.rlike(_INTEGER), F.trim(F.translate(text, "_", "")).try_cast("int"))
 
 
+def _long_digits(size: Column) -> Column:
+    """All digits of a whole double from 2**62 on, exactly.
+
+    Such a number is a long times a power of 256. The long's digits, in groups of nine
+    from the lowest, are multiplied by 256 as often as needed.
+    """
+    group = F.lit(1_000_000_000).cast("bigint")
+    times = F.ceil((F.log2(size) - 62) / 8).cast("int")
+    start = (size / F.pow(F.lit(256.0), times)).cast("bigint")
+    groups = F.array(start % group, _div(start, group) % group, _div(_div(start, group), group))
+
+    def times_256(groups: Column, _: Column) -> Column:
+        first = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        done = F.aggregate(groups, first, lambda at, g: F.struct(
+            _div(g * 256 + at["carry"], group).alias("carry"),
+            F.concat(at["out"], F.array((g * 256 + at["carry"]) % group)).alias("out"),
+        ))
+        return F.concat(done["out"], F.array(done["carry"]))
+
+    all_groups = F.aggregate(F.slice(F.sequence(F.lit(0), times), 2, times), groups, times_256)
+    return F.ltrim(F.array_join(F.transform(F.reverse(all_groups), lambda g: F.lpad(g.cast("string"), 9, "0")), ""), F.lit("0"))
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole quotient of longs, computed on longs."""
+    return F.call_function("div", a, b)
+
+
 def _number_text(number: Column) -> Column:
     """Whole numbers without decimals, others with two, halves to even."""
     size = F.abs(number)
-    whole = F.when(size < F.lit(9.2e18), number.cast("bigint").cast("string")).otherwise(
-        number.try_cast("decimal(38,0)").cast("string")
-    )
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    whole = F.when(size < F.lit(9.2e18), number.cast("bigint").cast("string")).otherwise(F.concat(sign, _long_digits(size)))
     cents = F.rint(size * 100).cast("bigint")
     small = F.concat(
         F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")
     )
+    # A double with decimals is below 2**53, so it fits.
     large = F.bround(size, 2).try_cast("decimal(38,2)").cast("string")
     # A small negative number keeps its sign although it prints as zero.
-    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.when(number == F.floor(number), whole).otherwise(
+    return F.when(number == F.rint(number), whole).otherwise(
         F.concat(sign, F.when(size < F.lit(1e12), small).otherwise(large))
     )
 
@@ -53,7 +80,7 @@ def _number_text(number: Column) -> Column:
 def format_value(c: Column | str) -> Column:
     """Cell text: whole numbers without decimals, others with two, anything else unchanged.
 
-    Values past 2**63 print the digits of their shortest form.
+    Whole values of any size print all their digits.
     """
     value = _col(c)
     text = value.cast("string")

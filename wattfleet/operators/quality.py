@@ -41,7 +41,7 @@ def retain(
 
 def drop_malformed(df: DataFrame, corrupt: str = CORRUPT) -> DataFrame:
     """Drop rows of fewer than three fields; other ragged rows stay."""
-    unquoted = F.regexp_replace(F.col(corrupt), '"(?:[^"]|"")*"', "")
+    unquoted = F.regexp_replace(F.col(corrupt), '"[^"]*+(?:""[^"]*+)*+"', "")
     fields = F.size(F.split(unquoted, ",", -1))
     return df.where(F.col(corrupt).isNull() | (fields > 2))
 

@@ -68,7 +68,7 @@ SELECT {READING}, 'a' AS site FROM events WHERE event_type = 'click'
 UNION ALL
 SELECT user_id, event_type, ts, NULL, event_id, 'b' FROM events WHERE event_type = 'error'
 UNION ALL
-SELECT {READING}, 'c' FROM events WHERE event_type = 'view'
+SELECT {READING}, 'c' FROM events WHERE event_type IS NULL OR event_type NOT IN ('click', 'error')
 """
 
 CELL_TEXTS = ["NA", "0.0", "1_000", "1.5d", " 7 ", "-0.001", "123:04:05", "nan", "-0.0", "1.50", "2e3", ".5"]

@@ -104,7 +104,7 @@ def union_of_sites(spark, sf):
     sites = [
         df.where("Meter_Name = 'click'").withColumn("site", F.lit("a")),
         df.where("Meter_Name = 'error'").drop("Watts_Total").withColumn("site", F.lit("b")),
-        df.where("Meter_Name = 'view'").withColumn("site", F.lit("c")),
+        df.where("Meter_Name IS NULL OR Meter_Name NOT IN ('click', 'error')").withColumn("site", F.lit("c")),
     ]
     return O.reading_columns(union_sites(sites), "site")
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfleet.session import prepare
+from wattfleet.session import prepare, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

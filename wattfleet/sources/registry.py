@@ -9,7 +9,8 @@ from wattfleet.operators.registry import normalize_registry
 from wattfleet.sources.readings import site_of
 
 # A string literal, or a comment. Strings are put back, so comment marks inside them survive.
-_STRING_OR_COMMENT = r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/'
+# The quantifiers give nothing back, which keeps long strings off the matcher's stack.
+_STRING_OR_COMMENT = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|//[^\n]*|/\*[\s\S]*?\*/'
 
 LIST_KEYS = ["devices", "meters", "items"]
 
