@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattfleet.llm.tokens import encoder
-from wattfleet.session import shared_folder
+from wattfleet.session import shared_folder, stored
 
 #: Ids of a shard; it ends with the document that fills it.
 SHARD_IDS = 1 << 20
@@ -223,6 +223,8 @@ def read_tokens(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     starts = inside.join(ahead, "part").select("part", "number", (F.col("ahead") + F.col("inside")).alias("first"))
+    # As files of a known size: Spark broadcasts them below its threshold, and then the ids are not shuffled.
+    starts = stored(starts, "shard-starts")
     rows = table.select("part", "number", "shard").mapInArrow(
         _decoded, "part long, number long, id long, place long, n_tokens long, ids binary"
     )
