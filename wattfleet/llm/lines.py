@@ -4,10 +4,10 @@ Lines get a MinHash signature over their character shingles: one pass over the
 shingles, each hash competing in one of the signature's places (one permutation),
 empty places filled from others in a fixed order. Bands of the signature are the
 keys of a shuffle. Lines that meet are verified by their exact Jaccard similarity:
-first each with the smallest line of its key, then, where a key still holds lines of
-several components, the pairs across components; pairs inside a component can add
-nothing. Distributed union-find joins the links, and the first line of each
-component stays.
+first each with the line of its key that meets most others, then, where a key still
+holds lines of several components, the pairs across components; pairs inside a
+component can add nothing. Distributed union-find joins the links, and the first line
+of each component stays.
 
 A line is named by the XXH64 of its text, so exact copies are one line from the start
 and never meet as pairs. Texts move only for lines that share a key.
@@ -59,17 +59,24 @@ def _donors() -> np.ndarray:
 _DONORS = _donors()
 
 
+def _shingle_hashes(codes: np.ndarray, shingle: int) -> np.ndarray:
+    """A hash of every run of ``shingle`` code points."""
+    n = len(codes) - shingle + 1
+    hashes = np.zeros(n, np.uint64)
+    for i in range(shingle):
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes += codes[i : i + n]
+    return hashes
+
+
 def signatures(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
     """MinHash signatures, one row per line; a line shorter than a shingle is one shingle."""
     padded = [line if len(line) >= shingle else line + "\0" * (shingle - len(line)) for line in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(line) for line in padded], np.int64)
     ends = np.cumsum(lengths)
-    n = len(codes) - shingle + 1
-    hashes = np.zeros(n, np.uint64)
-    for i in range(shingle):
-        hashes *= np.uint64(0x9E3779B97F4A7C15)
-        hashes += codes[i : i + n]
+    hashes = _shingle_hashes(codes, shingle)
+    n = len(hashes)
     owner = np.repeat(np.arange(len(lines)), lengths)[:n]
     whole = np.arange(n) + shingle <= ends[owner]
     hashes, owner = _mix(hashes[whole]), owner[whole]
@@ -156,12 +163,50 @@ def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
+class _Hashed:
+    """Jaccard similarity by sorted shingle hashes, kept for lines met again up to a bound of characters.
+
+    Rules out pairs cheaply; those it lets through are compared by the shingles themselves.
+    """
+
+    def __init__(self, shingle: int, bound: int = 1 << 23) -> None:
+        self.shingle, self.bound = shingle, bound
+        self.known: dict[str, np.ndarray] = {}
+        self.chars = 0
+
+    def shingles(self, line: str) -> np.ndarray:
+        found = self.known.get(line)
+        if found is None:
+            padded = line if len(line) >= self.shingle else line + "\0" * (self.shingle - len(line))
+            codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            found = np.unique(_shingle_hashes(codes, self.shingle))
+            if self.chars + len(line) > self.bound:
+                self.known.clear()
+                self.chars = 0
+            if len(line) <= self.bound:
+                self.known[line] = found
+                self.chars += len(line)
+        return found
+
+    def jaccard(self, a: str, b: str) -> float:
+        x, y = self.shingles(a), self.shingles(b)
+        if len(x) > len(y):
+            x, y = y, x
+        both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+        return both / (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The rows ``(a, b)`` of ``pairs`` whose lines are similar enough."""
 
     @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(a, b, shingle) >= similarity for a, b in zip(left, right, strict=True)], dtype=bool)
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        hashed = _Hashed(shingle)
+        for left, right in batches:
+            yield pd.Series(
+                [hashed.jaccard(a, b) >= similarity and jaccard(a, b, shingle) >= similarity for a, b in zip(left, right, strict=True)],
+                dtype=bool,
+            )
 
     joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b"
@@ -190,8 +235,11 @@ def near_lines(
     texts = with_candidates(all_lines, wanted.select(F.col("line").alias("key")), F.col("line"))
     texts = stored(texts.dropDuplicates(["line"]).join(wanted, "line", "left_semi"), "line-texts")
 
-    first = shared.groupBy("key").agg(F.min("line").alias("a"))
-    stars = shared.withColumnRenamed("line", "b").join(first, "key").where("a <> b").select("a", "b").distinct()
+    # The line that meets most others is the best guess at what the lines of its keys derive from.
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    degrees = shared.join(sizes, "key").groupBy("line").agg(F.sum("n").alias("degree"))
+    centres = shared.join(degrees, "line").groupBy("key").agg(F.max_by("line", "degree").alias("a"))
+    stars = shared.withColumnRenamed("line", "b").join(centres, "key").where("a <> b").select("a", "b").distinct()
     stars = stored(stars, "line-pairs")
     links = stored(_verified(stars, texts, shingle, similarity), "line-links")
     labels = connected_components(links)
