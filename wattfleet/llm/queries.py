@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfleet.llm import chat, decontaminate, licenses, lines, packing, pii, quality, simhash, sql, substrings, token_files
+from wattfleet.llm import (
+    chat, decontaminate, impact_search, infill, licenses, lines, packing, pii, quality, repair, simhash, sql, substrings, token_files,
+)
 from wattfleet.session import ship_package
 
 
@@ -102,6 +104,61 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or given another role by the checksum of their place."""
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    marked = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(place) % 20).alias("code"))
+    return marked.where("code <> 0").select(
+        "conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("code") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, pieces = repair.repair(damaged(conversations))
+
+    def copies(n: Column, *faults: str | None) -> Column:
+        of = F.coalesce("fault", F.lit("")).isin([f or "" for f in faults])
+        return F.sum(F.when(of, n).otherwise(F.lit(0).cast("long")))
+
+    n = F.col("copies")
+    counts = found.groupBy("conversation").agg(
+        repair.gaps("turn").alias("gaps"), copies(n, "blank").alias("blank"),
+        (copies(n, "duplicate") + copies(n - 1, None, "truncated")).alias("duplicate"), copies(F.lit(1).cast("long"), "truncated").alias("truncated"),
+    )
+    told = F.transform(F.sort_array(F.collect_list(F.struct("part", "no", "audit"))), lambda x: x["audit"])
+    edits = pieces.groupBy("conversation").agg(F.sum("illegal").alias("illegal"), F.sum("cost").alias("cost"), F.array_join(told, "").alias("audit"))
+    hashes = repair.digests(repair.repaired(found, pieces)).select("conversation", F.col("sha256").alias("repaired_sha256"))
+    parts = conversations.select(F.col("conv_id").alias("conversation")).distinct()
+    for part in (counts, edits, hashes):
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return parts.groupBy(F.col("conversation").alias("conv_id")).agg(
+        *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(_table(spark, sf_dir, "documents"), unit="token", seed="1", plain_percent=10, spm_percent=20)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.when(impact_search.usable(F.col("embedding")), whole).alias("vector"))
+    index = impact_search.build_index(vectors, "vec_id", "vector")
+    found = impact_search.search(index, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "vector")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
@@ -113,9 +170,15 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
+    "op11_repair": op11_repair,
+    "op12_infill": op12_infill,
+    "op13_top_k": op13_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat": sql.OP3,
     "op4_decontaminate": sql.OP4,
+    "op11_repair": sql.OP11,
+    "op12_infill": sql.OP12,
+    "op13_top_k": sql.OP13,
 }
