@@ -3,7 +3,7 @@
 The index is a table of blocks. In a block each dimension's values are quantised into
 levels, and the vectors of a level are one posting segment. For a query the impact of a
 segment is the least that its level adds above the dimension's lowest level. Segments are
-processed by descending impact, band after band; a vector's sum so far bounds its score
+processed by descending impact, in bands; a vector's sum so far bounds its score
 from below, and with the largest impacts left, for as many dimensions as it has not been
 met in, from above. Vectors whose upper bound falls short of the k-th best lower bound are
 proven out. When the rest costs less to score than the postings left, they are scored
@@ -32,7 +32,12 @@ BLOCK_COMPONENTS = 1 << 21
 CHUNK_COMPONENTS = 1 << 16
 
 LEVELS = 32
-_BANDS = 8
+#: Impacts are processed down to these parts of a query's largest one, then all (0).
+_FLOORS = (2, 4, 8, 0)
+#: Queries whose segments are processed together.
+_TOGETHER = 32
+#: Runs of segments with fewer than this part of all vectors are processed by their postings.
+_SCAN = 16
 
 _BLOCK = "block long, ids array<{id}>, width int, kind string, vectors binary, lows binary, steps binary, places binary, starts binary"
 _CHUNK = "chunk long, ids array<{id}>, width int, vectors binary"
@@ -118,25 +123,29 @@ class Block:
         self.lows, self.steps = np.frombuffer(row["lows"], "<f8"), np.frombuffer(row["steps"], "<f8")
         self.places = np.frombuffer(row["places"], "<u4").reshape(self.width, n)
         self.starts = np.frombuffer(row["starts"], "<i8").reshape(self.width, LEVELS + 1)
+        #: The level of each posting, and that of each vector.
         self.levels = np.array(
             [np.repeat(np.arange(LEVELS, dtype=np.uint8), np.diff(s)) for s in self.starts], np.uint8
         ).reshape(self.width, n)
+        self.codes = np.empty_like(self.levels)
+        np.put_along_axis(self.codes, self.places, self.levels, axis=1)
         self.largest = float(np.abs(self.vectors).max(initial=0))
         self.order = np.empty(n, np.int64)  # place of each id among the block's, null last
         self.order[pc.array_sort_indices(self.ids).to_numpy()] = np.arange(n)
 
-    def top(self, own: pa.Scalar, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
-        """Rows and exact scores of the k best vectors of another id; equal scores by id."""
-        others = self._others(own)
-        size = min(len(query), self.width)
-        query = query[:size]
-        possible = self._possible(query, others, k)
-        scores = self._exact(possible, query)
-        if scores.dtype == object:
-            best = sorted(range(len(scores)), key=lambda i: (-scores[i], self.order[possible[i]]))[:k]
-        else:
-            best = np.lexsort((self.order[possible], -scores))[:k]
-        return possible[best], [max(min(int(s), 2**63 - 1), -(2**63)) for s in scores[best]]
+    def top(self, owns: pa.Array, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, list[int]]]:
+        """For each query the rows and exact scores of the k best vectors of another id; equal scores by id."""
+        queries = queries[:, : self.width]
+        others = [self._others(own) for own in owns]
+        out = []
+        for query, possible in zip(queries, self._possible(queries, others, k), strict=True):
+            scores = self._exact(possible, query)
+            if scores.dtype == object:
+                best = sorted(range(len(scores)), key=lambda i: (-scores[i], self.order[possible[i]]))[:k]
+            else:
+                best = np.lexsort((self.order[possible], -scores))[:k]
+            out.append((possible[best], [max(min(int(s), 2**63 - 1), -(2**63)) for s in scores[best]]))
+        return out
 
     def _others(self, own: pa.Scalar) -> np.ndarray:
         same = pc.is_null(self.ids) if not own.is_valid else pc.fill_null(pc.equal(self.ids, own), False)
@@ -149,51 +158,71 @@ class Block:
         whole = np.vectorize(int, otypes=[object])
         return whole(vectors) @ whole(query) if vectors.size else np.zeros(len(rows), object)
 
-    def _fits(self, query: np.ndarray, most: float) -> bool:
-        return (self.largest + 1) * float(np.abs(query).max(initial=0)) * (len(query) + 1) * 4 < most
-
-    def _possible(self, query: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the k best; all others are proven not to be."""
-        everyone = np.flatnonzero(others)
-        dims = np.flatnonzero(query)
-        bits = len(dims).bit_length()
-        if len(everyone) <= k or not len(dims) or not self._fits(query, 2.0 ** (61 - bits) / LEVELS):
-            return everyone
-        weight = np.abs(query[dims]).astype(np.int64) * self.steps[dims].astype(np.int64)
-        rising = query[dims] > 0
-        slack = int((np.abs(query[dims]).astype(np.int64) * (self.steps[dims].astype(np.int64) - 1)).sum())
-        sums = np.zeros(self.n, np.int64)  # the lower bound above all dimensions' lowest, and behind it the dimensions met
-        done = np.full(len(dims), LEVELS)  # per dimension the lowest level processed, counted towards larger scores
-        towards = np.where(rising[:, None], np.arange(LEVELS), np.arange(LEVELS)[::-1])
-        adds = (towards * weight[:, None] << bits) + 1
-        left = self.n * len(dims)
-        highest = int(weight.max()) * (LEVELS - 1)
-        for band in range(1, _BANDS + 1):
-            floor = highest * (_BANDS - band) // _BANDS
-            down_to = np.clip(-(-floor // weight), 1, LEVELS)
-            for i in np.flatnonzero(down_to < done).tolist():
-                d = dims[i]
-                if rising[i]:
-                    start, end = self.starts[d, down_to[i]], self.starts[d, done[i]]
-                else:
-                    start, end = self.starts[d, LEVELS - done[i]], self.starts[d, LEVELS - down_to[i]]
-                if start == end:
-                    continue
-                sums[self.places[d, start:end]] += adds[i][self.levels[d, start:end]]
-                left -= int(end - start)
-            done = np.minimum(done, down_to)
-            if band < _BANDS // 2:
-                continue
-            lower = sums[everyone] >> bits
-            rest = np.sort((done - 1) * weight)[::-1]  # the largest impact left in each dimension
-            rests = np.concatenate([[0], np.cumsum(rest)])
-            unmet = len(dims) - (sums[everyone] & ((1 << bits) - 1))
-            upper = lower + slack + rests[unmet]
-            enough = np.partition(lower, len(lower) - k)[len(lower) - k]
-            possible = everyone[upper >= enough]
-            if len(possible) * len(dims) <= left:
-                return possible
-        return possible
+    def _fits(self, queries: np.ndarray, most: float) -> bool:
+        width = queries.shape[-1]
+        return (self.largest + 1) * float(np.abs(queries).max(initial=0)) * (width + 1) * 4 < most
+
+    def _possible(self, queries: np.ndarray, others: list[np.ndarray], k: int) -> list[np.ndarray]:
+        """For each query the rows that may be among its k best; all others are proven not to be."""
+        found = [np.flatnonzero(o) for o in others]
+        bits = queries.shape[1].bit_length()
+        able = [i for i, o in enumerate(found) if len(o) > k and queries[i].any()]
+        if not able or not self._fits(queries, 2.0 ** (61 - bits) / LEVELS):
+            return found
+        asked = queries[able].astype(np.int64)
+        weight = np.abs(asked) * self.steps[: asked.shape[1]].astype(np.int64)
+        slack = (weight - np.abs(asked)).sum(axis=1)
+        rising, weighted = asked > 0, weight > 0
+        highest = weight.max(axis=1) * (LEVELS - 1)
+        small = int(weight.sum(axis=1).max()) * LEVELS << bits < 2**31
+        # For each vector and query: the lower bound above all dimensions' lowest, and behind it the dimensions met.
+        sums = np.zeros((self.n, len(able)), np.int32 if small else np.int64)
+        done = np.where(weighted, LEVELS, 1)  # per dimension the lowest level processed, counted towards larger scores
+        for share in _FLOORS:
+            floor = highest[:, None] // share if share else np.zeros((len(able), 1), np.int64)
+            down_to = np.minimum(np.clip(-(-floor // np.maximum(weight, 1)), 1, LEVELS), done)
+            for d in np.flatnonzero((down_to < done).any(axis=0)).tolist():
+                self._process(d, down_to[:, d], done[:, d], rising[:, d], weight[:, d], bits, sums)
+            done = down_to
+            unmet_all = weighted.sum(axis=1)
+            rests = np.cumsum(-np.sort(-(done - 1) * weight, axis=1), axis=1)  # the largest impacts left, summed
+            for j, i in enumerate(able):
+                everyone = np.flatnonzero(others[i])
+                column = sums[everyone, j].astype(np.int64)
+                lower, met = column >> bits, column & ((1 << bits) - 1)
+                enough = np.partition(lower, len(lower) - k)[len(lower) - k]
+                upper = lower + slack[j] + np.append(0, rests[j])[unmet_all[j] - met]
+                found[i] = everyone[upper >= enough]
+            left = [self._left(done[j], rising[j], weighted[j]) for j in range(len(able))]
+            if all(len(found[i]) * int(unmet_all[j]) <= left[j] for j, i in enumerate(able)):
+                break
+        return found
+
+    def _left(self, done: np.ndarray, rising: np.ndarray, weighted: np.ndarray) -> int:
+        """Postings of a query that are not processed yet."""
+        starts = self.starts[: len(done)]
+        dims = np.arange(len(done))
+        below, above = starts[dims, done], self.n - starts[dims, LEVELS - done]
+        return int(np.where(rising, below, above)[weighted].sum())
+
+    def _process(self, d: int, low: np.ndarray, high: np.ndarray, rising: np.ndarray, weight: np.ndarray, bits: int, sums: np.ndarray) -> None:
+        """Adds the impacts of a dimension's segments between two levels, for each query its own.
+
+        Short runs of segments go by their postings; runs with a good share of all vectors by the vectors' level codes,
+        all queries at once.
+        """
+        first = np.where(rising, low, LEVELS - high)
+        last = np.where(rising, high, LEVELS - low)
+        sizes = np.where(low < high, self.starts[d, last] - self.starts[d, first], 0)
+        levels = np.arange(LEVELS)[:, None]
+        towards = np.where(rising, levels, LEVELS - 1 - levels)
+        adds = np.where((towards >= low) & (towards < high), (towards * weight << bits) + 1, 0).astype(sums.dtype)
+        if sizes.sum() * _SCAN < sums.size:
+            for j in np.flatnonzero(sizes).tolist():
+                run = slice(self.starts[d, first[j]], self.starts[d, last[j]])
+                sums[self.places[d, run], j] += adds[self.levels[d, run], j]
+        else:
+            sums += adds.take(self.codes[d], axis=0)
 
 
 def build_index(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -236,13 +265,14 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec
                 ids, width = chunks.column("ids")[c].values, chunks.column("width")[c].as_py()
                 asked = np.frombuffer(chunks.column("vectors")[c].as_buffer(), "<f8").reshape(len(ids), width)
                 number = chunks.column("chunk")[c].as_py()
-                for at, query in enumerate(asked):
-                    found, scores = block.top(ids[at], query, k)
-                    out[0] += [number] * len(found)
-                    out[1] += [at] * len(found)
-                    out[2] += [ids[at].as_py()] * len(found)
-                    out[3] += block.ids.take(pa.array(found)).to_pylist()
-                    out[4] += scores
+                for start in range(0, len(asked), _TOGETHER):
+                    part = slice(start, start + _TOGETHER)
+                    for at, (found, scores) in enumerate(block.top(ids[part], asked[part], k), start):
+                        out[0] += [number] * len(found)
+                        out[1] += [at] * len(found)
+                        out[2] += [ids[at].as_py()] * len(found)
+                        out[3] += block.ids.take(pa.array(found, pa.int64())).to_pylist()
+                        out[4] += scores
         kinds = [pa.int64(), pa.int64(), kind_of(chunks), kind_of(blocks), pa.int64()]
         return pa.table([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["chunk", "at", "query_id", "id", "score"])
 
