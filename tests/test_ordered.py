@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattfleet.operators import cooldown as C
-from wattfleet.operators.cooldown import slice_width, throttle
+from wattfleet.operators.cooldown import throttle
 from wattfleet.operators.cycles import cycle_counts, cycle_every, number_cycles
 from wattfleet.operators.latest import latest_by, latest_per_device, latest_source, tail_n, union_sites
-from wattfleet.operators.slices import SLICE_COLUMNS, with_slices
+from wattfleet.operators.scan import in_order
 from wattfleet.operators.transitions import transitions
 
 T0 = dt.datetime(2025, 1, 1)
@@ -42,56 +42,73 @@ def histories(rows):
     return keyed
 
 
-@pytest.mark.parametrize("seed,max_rows", [(1, 2_000_000), (2, 10), (3, 3), (4, None)])
-def test_number_cycles(spark, seed, max_rows):
+@pytest.fixture
+def partitions(spark):
+    """Sets the number of partitions that rows are ordered in."""
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    yield lambda n: spark.conf.set(setting, str(n))
+    spark.conf.set(setting, before)
+
+
+@pytest.mark.parametrize("seed,parts", [(1, 8), (2, 1), (3, 60), (4, 3)])
+def test_number_cycles(spark, partitions, seed, parts):
+    partitions(parts)
     rows = random_events(seed)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["seq"]: r["cycle"] for r in number_cycles(df, ["device"], "ts", "seq", 600, max_rows).collect()}
+    got = {r["seq"]: r["cycle"] for r in number_cycles(df, ["device"], "ts", "seq").collect()}
     expected = {r[2]: i for h in histories(rows).values() for i, r in enumerate(h, 1)}
     assert got == expected
-    every = cycle_every(df, 10, ["device"], "ts", "seq", max_rows=max_rows).select("seq").collect()
+    every = cycle_every(df, 10, ["device"], "ts", "seq").select("seq").collect()
     assert {r[0] for r in every} == {s for s, i in expected.items() if i % 10 == 0}
     counts = {r["device"]: r["cycles"] for r in cycle_counts(df, ["device"]).collect()}
     assert counts == {k: len(h) for k, h in histories(rows).items()}
 
 
-def test_crowded_buckets_are_cut(spark):
-    df = spark.createDataFrame(random_events(5), SCHEMA)
-    sizes = with_slices(df, ["device"], "ts", "seq", 86400, 20).groupBy(*SLICE_COLUMNS).count()
-    whole = with_slices(df, ["device"], "ts", "seq", 86400, None).groupBy(*SLICE_COLUMNS).count()
-    assert whole.agg(F.max("count")).first()[0] > 100 and sizes.count() > whole.count() * 4
-    same_time = df.withColumn("ts", F.lit(T0).cast("timestamp_ntz"))
-    sizes = with_slices(same_time, ["device"], "ts", "seq", 86400, 20).groupBy(*SLICE_COLUMNS).count()
-    assert sizes.agg(F.max("count")).first()[0] < 60
-
-
 def copies(n=900):
     """A third of all rows are copies: one device, one time; the rest is spread."""
     rows = random_events(6, n=n, with_null_times=False)
     return [(1, T0, *r[2:]) if i % 3 == 0 else r for i, r in enumerate(rows)]
 
 
-def test_a_third_of_rows_as_copies(spark):
+@pytest.mark.parametrize("same", ["time", "row"])
+def test_a_crowded_device_is_spread(spark, same):
+    row = (1, T0, 5, True, False)
+    rows = [row] * 2000 + random_events(6, n=1000) if same == "row" else copies(3000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = [r["count"] for r in in_order(df, ["device"], "ts", "seq").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+    if same == "row":
+        numbers = sorted(r["cycle"] for r in number_cycles(df.where("seq = 5 and up and ts = timestamp_ntz'2025-01-01'"), ["device"], "ts", "seq").collect())
+        assert numbers == list(range(1, len(numbers) + 1)) and len(numbers) >= 2000
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_a_third_of_rows_as_copies(spark, partitions, batch):
     rows = copies()
     df = spark.createDataFrame(rows, SCHEMA)
-    sizes = with_slices(df, ["device"], "ts", "seq", 3600, 20).groupBy(*SLICE_COLUMNS).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 60
-    got = {r["seq"]: r["cycle"] for r in number_cycles(df, ["device"], "ts", "seq", 3600, 20).collect()}
-    assert got == {r[2]: i for h in histories(rows).values() for i, r in enumerate(h, 1)}
-    edges = transitions(df, ["device"], max_rows=20).collect()
-    expected = [b[2] for h in histories(rows).values() for a, b in zip(h, h[1:]) if b[3] and not a[3]]
-    assert sorted(r["seq"] for r in edges) == sorted(expected)
-    for bypass in (None, "force"):
-        fired = throttle(df, ["device"], 600, bypass=bypass, max_rows=20).collect()
-        assert sorted(r["seq"] for r in fired) == sorted(brute_throttle(rows, 600, bypass is not None))
+    partitions(25)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r["seq"]: r["cycle"] for r in number_cycles(df, ["device"], "ts", "seq").collect()}
+        assert got == {r[2]: i for h in histories(rows).values() for i, r in enumerate(h, 1)}
+        edges = transitions(df, ["device"]).collect()
+        expected = [b[2] for h in histories(rows).values() for a, b in zip(h, h[1:]) if b[3] and not a[3]]
+        assert sorted(r["seq"] for r in edges) == sorted(expected)
+        for bypass in (None, "force"):
+            fired = throttle(df, ["device"], 600, bypass=bypass).collect()
+            assert sorted(r["seq"] for r in fired) == sorted(brute_throttle(rows, 600, bypass is not None))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 @pytest.mark.parametrize("initial", [None, False, True])
-@pytest.mark.parametrize("seed,max_rows", [(1, 2_000_000), (2, 5), (3, None)])
-def test_transitions(spark, seed, max_rows, initial):
+@pytest.mark.parametrize("seed,parts", [(1, 8), (2, 100), (3, 1)])
+def test_transitions(spark, partitions, seed, parts, initial):
+    partitions(parts)
     rows = random_events(seed)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = transitions(df, ["device"], initial=initial, slice_seconds=600, max_rows=max_rows).collect()
+    got = transitions(df, ["device"], initial=initial).collect()
     expected = set()
     for history in histories(rows).values():
         before = True if initial is None else initial
@@ -103,6 +120,13 @@ def test_transitions(spark, seed, max_rows, initial):
     assert got[0].__fields__ == df.columns
 
 
+def test_ordered_operators_on_empty_tables(spark):
+    df = spark.createDataFrame([], SCHEMA + ", cycle int")
+    assert number_cycles(df, ["device"], "ts", "seq").columns == [*df.columns[:-1], "cycle"]
+    for found in (number_cycles(df, ["device"], "ts", "seq"), transitions(df, ["device"]), throttle(df, ["device"], 60)):
+        assert found.count() == 0
+
+
 def test_transitions_golden(spark):
     samples = "TFFTTFT"
     df = spark.createDataFrame(
@@ -113,7 +137,7 @@ def test_transitions_golden(spark):
     assert sorted(r["seq"] for r in transitions(df, ["key"], initial=False).collect()) == [1, 4, 7]
 
 
-def brute_throttle(rows, cooldown, use_bypass):
+def brute_throttle(rows, cooldown, use_bypass, failing=()):
     fired = set()
     for history in histories(rows).values():
         last = None
@@ -122,17 +146,17 @@ def brute_throttle(rows, cooldown, use_bypass):
                 continue
             if last is None or (use_bypass and force) or (ts - last).total_seconds() >= cooldown:
                 fired.add(seq)
-                last = ts
+                last = last if seq in failing else ts
     return fired
 
 
 @pytest.mark.parametrize("bypass", [None, "force"])
-@pytest.mark.parametrize("seed,cooldown,width", [(1, 600, 700), (2, 600, None), (3, 90, 100), (4, 5000, 600), (5, 0, 60),
-                                                (6, 50_000, 1000), (7, 0.5, 3600)])
-def test_throttle(spark, seed, cooldown, width, bypass):
+@pytest.mark.parametrize("seed,cooldown,parts", [(1, 600, 8), (2, 600, 1), (3, 90, 40), (4, 5000, 90), (5, 0, 8), (6, 50_000, 30), (7, 0.5, 8)])
+def test_throttle(spark, partitions, seed, cooldown, parts, bypass):
+    partitions(parts)
     rows = random_events(seed)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = throttle(df, ["device"], cooldown, bypass=bypass, slice_seconds=width)
+    got = throttle(df, ["device"], cooldown, bypass=bypass)
     assert got.columns == df.columns
     got = got.collect()
     assert sorted(r["seq"] for r in got) == sorted(brute_throttle(rows, cooldown, bypass is not None))
@@ -140,18 +164,33 @@ def test_throttle(spark, seed, cooldown, width, bypass):
     assert all(tuple(r) == by_seq[r["seq"]] for r in got)
 
 
-def test_throttle_slice_over_many_batches(spark):
+def test_throttle_over_many_batches(spark, partitions):
     rows = random_events(8, n=3000, with_null_times=False)
     df = spark.createDataFrame(rows, SCHEMA)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        for cooldown, width in [(600, 100_000), (40, 3600), (3000, 2000)]:
-            got = throttle(df, ["device"], cooldown, bypass="force", slice_seconds=width).collect()
+        for cooldown, parts in [(600, 2), (40, 8), (3000, 50)]:
+            partitions(parts)
+            got = throttle(df, ["device"], cooldown, bypass="force").collect()
             assert sorted(r["seq"] for r in got) == sorted(brute_throttle(rows, cooldown, True))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("parts,batch,bypass", [(1, "10000", None), (30, "10000", "force"), (8, "5", None), (40, "3", "force")])
+def test_a_failed_action_starts_no_cooldown(spark, partitions, parts, batch, bypass):
+    partitions(parts)
+    rows = random_events(10)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("done", F.when(F.col("seq") % 7 == 0, None).otherwise(F.col("seq") % 3 != 0))
+    failing = {r[2] for r in rows if r[2] % 7 == 0 or r[2] % 3 == 0}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = throttle(df, ["device"], 900, bypass=bypass, success="done").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["seq"] for r in got) == sorted(brute_throttle(rows, 900, bypass is not None, failing))
+
+
 def test_throttle_golden(spark):
     def fires(offsets, forced=()):
         df = spark.createDataFrame(
@@ -164,23 +203,6 @@ def test_throttle_golden(spark):
     assert fires([0, 100, 600, 700, 1199, 1200, 1299, 1300], forced=[100]) == [0, 100, 700, 1300]
 
 
-def test_throttle_resumes_from_state(spark):
-    rows = random_events(9, with_null_times=False)
-    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
-    cut = ordered[300][1]
-    early = [r for r in ordered if r[1] < cut]
-    late = [r for r in ordered if r[1] >= cut]
-    first = throttle(spark.createDataFrame(early, SCHEMA), ["device"], 600)
-    state = first.groupBy("device").agg(F.max("ts").alias("last_fired"))
-    second = throttle(spark.createDataFrame(late, SCHEMA), ["device"], 600, state=state)
-    got = [r["seq"] for r in first.collect() + second.collect()]
-    assert sorted(got) == sorted(brute_throttle(rows, 600, False))
-
-
-def test_slice_width():
-    assert [slice_width(c) for c in (0.5, 5, 600, 43_200, 86_400)] == [3600, 3600, 38_400, 172_800, 345_600]
-
-
 def test_step_functions_compose():
     rng = np.random.default_rng(1)
     for _ in range(300):

@@ -52,8 +52,8 @@ def test_scans_read_only_what_is_used(spark, sf_dir, name, columns):
     assert {field.split(":")[0] for field in schema.split(",")} == columns
 
 
-def test_uncrowded_slices_cost_no_join(spark, sf_dir):
+def test_transitions_shuffle_rows_once(spark, sf_dir):
     df = QUERIES["transitions_baseline"](spark, sf_dir)
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "BroadcastHashJoin" not in final and final.count("Exchange hashpartitioning") == 2
+    assert "Join" not in final and final.count("Exchange rangepartitioning") == 1 and final.count("Exchange hashpartitioning") == 1

@@ -1,16 +1,18 @@
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from test_ordered import SCHEMA, brute_throttle, histories, random_events
+from test_ordered import SCHEMA, T0, brute_throttle, histories, random_events
 from test_readings import HEADER, csv_line
+from wattfleet.operators.cooldown import throttle
 from wattfleet.operators.latest import latest_by
 from wattfleet.schema import PARAM_COLUMNS
 from wattfleet.sources.payloads import payload_stream, read_payloads
 from wattfleet.streaming import ingest as T
-from wattfleet.streaming.stateful import throttle_stream, transition_stream
+from wattfleet.streaming.stateful import late_rows, stream_results, throttle_stream, transition_stream
 
 
 def finish(query):
@@ -34,49 +36,126 @@ def ordered_groups(seed, n=3):
     return rows, [rows[i : i + size] for i in range(0, len(rows), size)]
 
 
-def results(spark, folder, name="results"):
-    return sorted(r.seq for r in spark.read.parquet(f"{folder}/{name}").collect())
+def results(spark, folder, read=stream_results):
+    return sorted(r.seq for r in read(spark.createDataFrame([], SCHEMA), folder).collect())
 
 
-@pytest.mark.parametrize("initial", [None, False])
-def test_transition_stream(spark, tmp_path, initial):
-    rows, groups = ordered_groups(21)
-    out = str(tmp_path / "out")
-    for stream, _ in in_batches(spark, tmp_path, groups):
-        finish(transition_stream(stream, out, ["device"], initial=initial, interval=None))
+def edges(rows, before_first):
     expected = []
     for history in histories(rows).values():
-        before = True if initial is None else initial
+        before = before_first
         for row in history:
             if row[3] and not before:
                 expected.append(row[2])
             before = row[3]
-    assert results(spark, out) == sorted(expected) and results(spark, out, "late") == []
+    return sorted(expected)
 
 
-def test_throttle_stream_with_late_rows(spark, tmp_path):
-    rows, groups = ordered_groups(22)
-    late = [groups[0].pop(3), groups[0].pop(7)]
+@pytest.mark.parametrize("initial", [None, False])
+def test_transition_stream(spark, tmp_path, initial):
+    rows, groups = ordered_groups(21, n=4)
+    late = [groups[0].pop(3), groups[1].pop(7)]
     untimed = (1, None, 9999, True, False)
-    groups[2].extend([*late, untimed])
+    groups[3].extend([*late, untimed])
     out = str(tmp_path / "out")
     for stream, _ in in_batches(spark, tmp_path, groups):
-        finish(throttle_stream(stream, out, ["device"], 600, bypass="force", interval=None))
+        finish(transition_stream(stream, out, ["device"], initial=initial, interval=None))
+    on_time = [r for r in rows if r not in late]
+    assert results(spark, out) == edges(on_time, initial is not False)
+    assert results(spark, out, late_rows) == sorted([r[2] for r in late] + [9999])
+
+
+def in_files(spark, folder, groups):
+    """A stream over files of the given groups of rows, one file for a batch."""
+    for rows in groups:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+CLOSING = [(None, T0 + dt.timedelta(days=9), None, False, False)]
+
+
+def test_throttle_stream_orders_rows(spark, tmp_path):
+    rows, groups = ordered_groups(22, n=5)
+    shuffled = [groups[i][::-1] for i in (1, 0, 2, 4, 3)] + [CLOSING]
+    out = str(tmp_path / "out")
+    stream = in_files(spark, str(tmp_path / "in"), shuffled)
+    finish(throttle_stream(stream, out, ["device"], 600, bypass="force", interval=None, delay="4 hours"))
+    assert results(spark, out) == sorted(brute_throttle(rows, 600, True)) and results(spark, out, late_rows) == []
+    assert stream_results(stream, out).columns == stream.columns
+
+
+def test_throttle_stream_keeps_late_rows(spark, tmp_path):
+    rows, groups = ordered_groups(26, n=4)
+    late = [groups[0].pop(3), groups[0].pop(7)]
+    untimed = (1, None, 9999, True, False)
+    groups[3].extend([*late, untimed])
+    out = str(tmp_path / "out")
+    stream = in_files(spark, str(tmp_path / "in"), [*groups, CLOSING])
+    finish(throttle_stream(stream, out, ["device"], 600, interval=None, delay="10 seconds"))
     on_time = [r for r in rows if r not in late]
-    assert results(spark, out) == sorted(brute_throttle(on_time, 600, True))
-    assert results(spark, out, "late") == sorted([r[2] for r in late] + [9999])
+    assert results(spark, out) == sorted(brute_throttle(on_time, 600, False))
+    assert results(spark, out, late_rows) == sorted([r[2] for r in late] + [9999])
+    # What came too late can be run with everything else at rest.
+    everything = spark.createDataFrame(on_time, SCHEMA).unionByName(late_rows(stream, out))
+    fired = throttle(everything, ["device"], 600).collect()
+    assert sorted(r.seq for r in fired) == sorted(brute_throttle(rows, 600, False))
 
 
-def test_a_repeated_batch_replaces_its_output(spark, tmp_path):
-    rows, groups = ordered_groups(23, n=2)
+@pytest.mark.parametrize("kind", ["transitions", "cooldown"])
+def test_a_repeated_batch_gives_the_same_rows(spark, tmp_path, kind):
+    rows, groups = ordered_groups(23, n=4)
     out = tmp_path / "out"
-    for stream, i in in_batches(spark, tmp_path, groups):
-        finish(transition_stream(stream, str(out), ["device"], interval=None))
-    once = results(spark, out)
-    (out / "checkpoint" / "commits" / "1").unlink()
-    (out / "checkpoint" / "commits" / ".1.crc").unlink(missing_ok=True)
-    finish(transition_stream(stream, str(out), ["device"], interval=None))
-    assert results(spark, out) == once
+    stream = in_files(spark, str(tmp_path / "in"), [*groups, CLOSING])
+
+    def run():
+        if kind == "transitions":
+            finish(transition_stream(stream, str(out), ["device"], interval=None))
+        else:
+            finish(throttle_stream(stream, str(out), ["device"], 600, bypass="force", interval=None))
+
+    run()
+    once = results(spark, str(out))
+    expected = edges(rows, True) if kind == "transitions" else sorted(brute_throttle(rows, 600, True))
+    assert once == expected
+    batches = max(int(f.name) for f in (out / "checkpoint" / "commits").iterdir() if f.name.isdigit())
+    (out / "checkpoint" / "commits" / f"{batches}").unlink()
+    (out / "checkpoint" / "commits" / f".{batches}.crc").unlink(missing_ok=True)
+    run()
+    assert results(spark, str(out)) == once
+
+
+def test_types_and_digits_survive_the_stream(spark, tmp_path):
+    schema = "`a key` string, ts timestamp, seq long, up boolean, big long, d decimal(20,4), x double, b binary, l array<string>, t timestamp_ntz"
+    stamp = dt.datetime(2025, 1, 1, 0, 0, 0, 123457)
+    rows = [("k", stamp + dt.timedelta(seconds=i), i, i % 2 == 1, None if i else 2**62 + 1, None, 0.1, b"\x00\xff", [None, "a"], stamp) for i in range(4)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    finish(transition_stream(stream, out, ["a key"], interval=None, initial=False))
+    assert sorted(map(str, stream_results(stream, out).collect())) == sorted(map(str, spark.createDataFrame([rows[1], rows[3]], schema).collect()))
+
+
+def test_a_key_is_forgotten(spark, tmp_path):
+    rows = [(1, T0 + dt.timedelta(seconds=i), i, up, False) for i, up in enumerate([False, True, False])]
+    out = str(tmp_path / "out")
+    stream = in_files(spark, str(tmp_path / "in"), [rows])
+    query = transition_stream(stream, out, ["device"], interval="1 second", forget_after_seconds=2)
+
+    def taken(n):  # such a stream is never out of work, so wait for its rows
+        end = time.time() + 40
+        while time.time() < end and sum(p.numInputRows for p in query.recentProgress) < n:
+            time.sleep(0.2)
+
+    try:
+        taken(3)
+        time.sleep(4)
+        in_files(spark, str(tmp_path / "in"), [[(1, T0, 0, True, False), (1, T0 + dt.timedelta(seconds=9), 9, True, False)]])
+        taken(5)
+    finally:
+        query.stop()
+    # The later rows start the key anew, so neither is late and the first is only the baseline.
+    assert results(spark, out) == [1] and results(spark, out, late_rows) == []
 
 
 def test_latest_stream(spark, tmp_path):

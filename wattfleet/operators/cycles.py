@@ -2,43 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wattfleet.operators.scan import PART, group_starts, in_order, same_value, with_columns
+from wattfleet.session import stored
+
+# What a row stands for: a row of the table, the size of a partition's first run, that of its last if another.
+_ROW, _FIRST, _LAST = range(3)
+
+
+def _number(keys: list[str]):
+    """Numbers rows within their run and tells the sizes of the outer runs. Memory: one batch."""
 
-from wattfleet.operators.slices import KEY, MAX_ROWS, SLICE, SLICE_COLUMNS, with_slices
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        key, count, runs, first, end = None, 0, 0, None, None
 
+        def told(rows: pa.RecordBatch, role: int, number: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            n = rows.num_rows
+            return with_columns(
+                rows, cycle=pa.array(number, pa.int64()), _role=same_value(role, n, pa.int32()), _first=pa.array(first, pa.bool_()),
+                **{PART: same_value(part, n, pa.int64())},
+            )
 
-def number_cycles(
-    df: DataFrame,
-    keys: list[str],
-    ts: str = "Time",
-    seq: str = "seq",
-    slice_seconds: int = 3600,
-    max_rows: int | None = MAX_ROWS,
-) -> DataFrame:
-    """Add ``cycle``: the running number of a row within its key, by ``(ts, seq)``.
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            starts, key = group_starts(batch, keys, key)
+            at = np.arange(n)
+            new = np.zeros(n, np.int64)
+            new[starts] = 1
+            since = np.maximum.accumulate(np.where(new > 0, at, -1))
+            number = np.where(since >= 0, at - since, at + count) + 1
+            run_of = runs + np.cumsum(new)
+            yield told(batch, _ROW, number, run_of == 1)
+            if first is None and runs <= 1 and run_of[-1] > 1:
+                head = int(np.argmax(run_of > 1))
+                size = number[head - 1] if head else count
+                first = told(batch.slice(head - 1, 1) if head else end, _FIRST, np.array([size]), np.array([True]))
+                yield first
+            count, runs, end = int(number[-1]), int(run_of[-1]), batch.slice(n - 1)
+        if end is not None:
+            yield told(end, _FIRST if runs == 1 else _LAST, np.array([count]), np.array([runs == 1]))
 
-    Rows are numbered inside a time slice; the sizes of the key's earlier slices
-    are added as an offset. Only slice counts pass through one task per key.
+    return run
+
+
+def number_cycles(df: DataFrame, keys: list[str], ts: str = "Time", seq: str = "seq") -> DataFrame:
+    """Add ``cycle``: the running number of a row within its key, by ``(ts, seq)``, rows without a time first.
+
+    Rows are numbered inside their partition of the ordered rows and stored; the sizes of a
+    key's earlier pieces, one for a partition at most, are added to those of first runs.
     """
-    sliced = with_slices(df, keys, ts, seq, slice_seconds, max_rows)
-    earlier = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.drop("cycle")
+    more = {"cycle": T.LongType(), "_role": T.IntegerType(), "_first": T.BooleanType(), PART: T.LongType()}
+    schema = T.StructType([*df.schema, *[T.StructField(name, kind) for name, kind in more.items()]])
+    found = stored(in_order(df, keys, ts, seq).mapInArrow(_number(keys), schema), "cycles")
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.where(F.col("_role") != _ROW)
     offsets = (
-        sliced.groupBy(*SLICE_COLUMNS)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*SLICE_COLUMNS, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy(*SLICE_COLUMNS).orderBy(ts, seq)
-    return (
-        sliced.join(offsets, SLICE_COLUMNS)
-        .withColumn("cycle", F.col("_offset") + F.row_number().over(inside))
-        .drop(*SLICE_COLUMNS, "_offset")
+        sizes.withColumn("_offset", F.sum("cycle").over(earlier))
+        .where((F.col("_role") == _FIRST) & F.col("_offset").isNotNull())
+        .select(F.col(PART).alias("_of"), "_offset")
     )
+    # One row for a partition at most, whatever the size of the table.
+    rows = found.where(F.col("_role") == _ROW)
+    joined = rows.join(F.broadcast(offsets), F.col("_first") & (F.col(PART) == F.col("_of")), "left")
+    return joined.withColumn("cycle", F.col("cycle") + F.coalesce("_offset", F.lit(0))).select(*df.columns, "cycle")
 
 
-def cycle_every(df: DataFrame, n: int, keys: list[str], ts: str = "Time", seq: str = "seq", **slicing) -> DataFrame:
+def cycle_every(df: DataFrame, n: int, keys: list[str], ts: str = "Time", seq: str = "seq") -> DataFrame:
     """Rows of every n-th cycle of their key."""
-    return number_cycles(df, keys, ts, seq, **slicing).where(F.col("cycle") % n == 0)
+    return number_cycles(df, keys, ts, seq).where(F.col("cycle") % n == 0)
 
 
 def cycle_counts(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -346,6 +346,50 @@ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, e
 """
 CYCLE_EVERY_10 = f"SELECT * FROM ({CYCLES}) WHERE cycle % 10 = 0"
 
+
+def crowded(sql: str) -> str:
+    """The same over events of which a third belong to one device."""
+    events = (
+        "(SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, "
+        "CASE WHEN event_id % 30 = 0 THEN TIMESTAMP '2024-01-02' ELSE ts END AS ts FROM events) AS events"
+    )
+    return sql.replace("FROM events", f"FROM {events}")
+
+
+THROTTLE_SUCCESS = """
+WITH RECURSIVE e AS (
+  SELECT user_id, ts, event_id, event_type <> 'error' AS ok,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (
+  SELECT user_id, ts, event_id, rn, CASE WHEN ok THEN ts END AS fired_at, TRUE AS fired FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.ts, e.event_id, e.rn,
+         CASE WHEN e.ok AND (f.fired_at IS NULL OR e.ts - f.fired_at >= INTERVAL 12 HOUR) THEN e.ts ELSE f.fired_at END,
+         f.fired_at IS NULL OR e.ts - f.fired_at >= INTERVAL 12 HOUR
+  FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+SELECT user_id, ts, event_id FROM f WHERE fired
+"""
+
+COPIES_ALLOWED = """
+WITH RECURSIVE seen AS (
+  SELECT user_id % 7 AS host, user_id AS mount, date_trunc('hour', ts) AS poll, bool_or(event_type <> 'error') AS present
+  FROM events GROUP BY ALL),
+hosts AS (
+  SELECT host, poll, any_there AND NOT coalesce(lag(any_there) OVER (PARTITION BY host ORDER BY poll), FALSE) AS freed
+  FROM (SELECT host, poll, bool_or(present) AS any_there FROM seen GROUP BY host, poll)),
+e AS (
+  SELECT host, mount, poll, freed, row_number() OVER (PARTITION BY host, mount ORDER BY poll) AS rn
+  FROM seen JOIN hosts USING (host, poll) WHERE present),
+f AS (
+  SELECT host, mount, poll, rn, poll AS fired_at, TRUE AS fired FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.host, e.mount, e.poll, e.rn,
+         CASE WHEN e.freed OR e.poll - f.fired_at >= INTERVAL 12 HOUR THEN e.poll ELSE f.fired_at END,
+         e.freed OR e.poll - f.fired_at >= INTERVAL 12 HOUR
+  FROM f JOIN e ON e.host = f.host AND e.mount = f.mount AND e.rn = f.rn + 1)
+SELECT host, mount, poll FROM f WHERE fired
+"""
+
 WIDE_TO_LONG = " UNION ALL ".join(
     f"SELECT l_orderkey, l_linenumber, '{c}' AS param, {c} AS value FROM lineitem"
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -16,6 +16,7 @@ from wattfleet.operators import registry as R
 from wattfleet.operators.cooldown import throttle
 from wattfleet.operators.cycles import cycle_counts, cycle_every, number_cycles
 from wattfleet.operators.latest import latest_by, latest_per_device, latest_source, tail_n, union_sites
+from wattfleet.operators.mounts import copies_due
 from wattfleet.operators.transitions import transitions
 from wattfleet.plans import oracles as O
 from wattfleet.plans import tables as D
@@ -24,7 +25,7 @@ from wattfleet.session import shared_folder
 from wattfleet.sources.payloads import build_payload, parse_payloads
 from wattfleet.sources.registry import parse_registry, strip_comments
 from wattfleet.streaming.ingest import latest_stream, read_latest, start_latest
-from wattfleet.streaming.stateful import throttle_stream, transition_stream
+from wattfleet.streaming.stateful import stream_results, throttle_stream, transition_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,6 +432,55 @@ def payload_roundtrip(spark, sf):
     )
 
 
+# One device with a third of all events
+
+
+def _crowded(spark, sf):
+    """Status samples, a third of them of one device and a tenth of these at one time."""
+    crowded = F.col("event_id") % 3 == 0
+    return D.status(spark, sf).withColumns({
+        "user_id": F.when(crowded, F.lit(-1).cast("bigint")).otherwise(F.col("user_id")),
+        "ts": F.when(crowded & (F.col("event_id") % 30 == 0), F.lit("2024-01-02").cast("timestamp_ntz")).otherwise(F.col("ts")),
+    })
+
+
+@query(O.crowded(O.TRANSITIONS.format(initial="NULL")))
+def transitions_hot_device(spark, sf):
+    return transitions(_crowded(spark, sf), ["user_id"], seq="event_id").drop("up")
+
+
+@query(O.crowded(O.CYCLES))
+def numbered_cycles_hot_device(spark, sf):
+    return number_cycles(_crowded(spark, sf), ["user_id"], "ts", "event_id").select("user_id", "event_id", "cycle")
+
+
+@query(O.crowded(O.CYCLE_EVERY_10))
+def cycle_every_10_hot_device(spark, sf):
+    return cycle_every(_crowded(spark, sf), 10, ["user_id"], "ts", "event_id").select("user_id", "event_id", "cycle")
+
+
+@query(O.crowded(O.THROTTLE.format(hours=2, bypass="event_id % 200 = 0")))
+def throttle_hot_device(spark, sf):
+    df = _crowded(spark, sf).withColumn("forced", F.col("event_id") % 200 == 0)
+    return throttle(df, ["user_id"], 2 * 3600, seq="event_id", bypass="forced").drop("up", "forced")
+
+
+@query(O.THROTTLE_SUCCESS)
+def throttle_failed_actions(spark, sf):
+    """A failed action starts no cooldown."""
+    return throttle(D.status(spark, sf), ["user_id"], 12 * 3600, seq="event_id", success="up").drop("up")
+
+
+@query(O.COPIES_ALLOWED)
+def copies_allowed(spark, sf):
+    """Polls of mounts: a host that had none and has some copies to all at once, others wait for the cooldown."""
+    samples = D.table(spark, sf, "events").select(
+        (F.col("user_id") % 7).alias("host"), F.col("user_id").alias("mount"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("poll"),
+        (F.col("event_type") != "error").alias("present"),
+    )
+    return copies_due(samples, ["host"], "mount", 12 * 3600, "present", "poll")
+
+
 # Streams: the same results as at rest
 
 
@@ -440,8 +490,28 @@ def _stream(spark, sf, name="events"):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
-def _status_stream(spark, sf):
-    return _stream(spark, sf).select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("up"))
+_SLICES = 4
+
+
+def _arriving(spark, sf, order, closed=False):
+    """Status samples as a stream of one file for each slice of time, in the given order, a file for a batch.
+
+    ``closed`` ends it with a row without a key, later than all others by twice their whole span.
+    """
+    rows = D.status(spark, sf)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    span = max((last - first).total_seconds(), 1) if first else 1
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) / 1e6
+    part = F.least(F.floor(at / (span / _SLICES)), F.lit(_SLICES - 1))
+    folder = shared_folder(spark, "arriving")
+    for i in order:
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    if closed:
+        closing = rows.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(2 * span))).alias("ts"))
+        nothing = {"user_id": F.lit(None).cast("bigint"), "event_id": F.lit(None).cast("bigint"), "up": F.lit(False)}
+        closing.withColumns(nothing).select(*rows.columns).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream, span
 
 
 @query(O.LATEST.format(key="user_id"))
@@ -458,12 +528,16 @@ def stream_latest(spark, sf):
 @query(O.TRANSITIONS.format(initial="NULL"))
 def stream_transitions(spark, sf):
     out = shared_folder(spark, "transitions")
-    transition_stream(_status_stream(spark, sf), out, ["user_id"], seq="event_id", interval=None).awaitTermination()
-    return spark.read.parquet(f"{out}/results").select("user_id", "ts", "event_id")
+    stream, _ = _arriving(spark, sf, range(_SLICES))
+    transition_stream(stream, out, ["user_id"], seq="event_id", interval=None).awaitTermination()
+    return stream_results(stream, out).select("user_id", "ts", "event_id")
 
 
 @query(O.THROTTLE.format(hours=12, bypass="FALSE"))
 def stream_throttle(spark, sf):
+    """Slices of time arrive in the wrong order, within the delay."""
     out = shared_folder(spark, "throttle")
-    throttle_stream(_status_stream(spark, sf), out, ["user_id"], 12 * 3600, seq="event_id", interval=None).awaitTermination()
-    return spark.read.parquet(f"{out}/results").select("user_id", "ts", "event_id")
+    stream, span = _arriving(spark, sf, [1, 0, 3, 2], closed=True)
+    delay = f"{int(span) + 1} seconds"
+    throttle_stream(stream, out, ["user_id"], 12 * 3600, seq="event_id", interval=None, delay=delay).awaitTermination()
+    return stream_results(stream, out).select("user_id", "ts", "event_id")

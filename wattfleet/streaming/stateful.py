@@ -1,77 +1,184 @@
-"""Transitions and cooldowns on live streams.
+"""Transitions and cooldowns on live streams, on Spark's keyed state.
 
-Each micro-batch runs the batch operators on its new rows and the state that the
-batch before left behind, one row per key. So a busy key is spread over tasks
-within a batch as it is at rest. State and results are written under the batch
-number: a batch that is run again after a failure reads the same state and
-replaces its own output.
+Both are stateful processors on a stream grouped by its keys; the state lies in the
+RocksDB state store below the stream's checkpoint, and a batch changes only the state of
+the keys it holds. A row travels as text beside the few numbers that the rules need, so
+that no column changes its type on the way.
 
-Rows that are not later than the last row seen of their key cannot be put in
-order any more; they go to the ``late`` folder.
+The results are written with a column ``late``: rows that came too late to be put in
+order. A file sink writes each batch once, also when it is run again after a failure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from wattfleet.operators.cooldown import throttle
-from wattfleet.operators.latest import latest_by
-from wattfleet.operators.slices import KEY, key_struct
-from wattfleet.operators.transitions import transitions
+from wattfleet.functions.scalars import micros
+from wattfleet.operators.cooldown import NEVER, passing
+from wattfleet.session import ship_package
 from wattfleet.streaming.ingest import DEFAULT_INTERVAL, with_trigger
 
-# State versions kept; the one before the running batch must survive its failure.
-_SLOTS = 3
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# Times keep all their digits as text.
+_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-
-def _slot(folder: str, batch_id: int) -> str:
-    return f"{folder}/state/slot={batch_id % _SLOTS}"
-
-
-def _split_late(
-    batch: DataFrame, state: DataFrame | None, keys: list[str], ts: str, seq: str
-) -> tuple[DataFrame, DataFrame]:
-    """Rows later than the state of their key, and the others. Rows without a time count as late."""
-    if state is None:
-        return batch.where(F.col(ts).isNotNull()), batch.where(F.col(ts).isNull())
-    seen = state.select(key_struct(keys).alias(KEY), F.struct(F.col("last_ts"), F.col("last_seq")).alias("_seen"))
-    joined = batch.withColumn(KEY, key_struct(keys)).join(seen, KEY, "left")
-    late = F.col(ts).isNull() | F.coalesce(F.struct(F.col(ts), F.col(seq)) <= F.col("_seen"), F.lit(False))
-    marked = joined.withColumn("_late", late)
-    return marked.where(~F.col("_late")).select(*batch.columns), marked.where("_late").select(*batch.columns)
-
-
-def _run(
-    stream: DataFrame,
-    folder: str,
-    step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
-    keys: list[str],
-    ts: str,
-    seq: str,
-    interval: str | None,
-) -> StreamingQuery:
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(_slot(folder, batch_id)) if batch_id else None
-        batch = batch.persist()
-        try:
-            rows, late = _split_late(batch, state, keys, ts, seq)
-            results, state_after = step(rows, state)
-            written = f"{folder}/results/batch={batch_id}"
-            results.write.mode("overwrite").parquet(written)
-            late.write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
-            # The state comes from the stored results, so they are computed once.
-            after = state_after(spark.read.schema(results.schema).parquet(written))
-            after.write.mode("overwrite").parquet(_slot(folder, batch_id + 1))
-        finally:
-            batch.unpersist()
-
-    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(handle)
-    return with_trigger(writer, interval).start()
+# Stands for a null time or number; both come before all others.
+_NONE = -(2**63)
+
+_OUT = "row string, late boolean"
+
+
+def _packed(stream: DataFrame, keys: list[str], ts: str, seq: str, flag: F.Column) -> DataFrame:
+    """Keys as one text that is never null, time in microseconds, sequence, a flag, and the whole row as text."""
+    key = F.to_json(F.struct(*[F.col(k) for k in keys]), {**_TEXT, "ignoreNullFields": "false"})
+    return stream.select(
+        key.alias("key"), F.coalesce(micros(ts), F.lit(_NONE)).alias("t"), F.coalesce(F.col(seq).cast("long"), F.lit(_NONE)).alias("seq"),
+        F.coalesce(flag, F.lit(False)).alias("flag"), F.to_json(F.struct(*[F.col(c) for c in stream.columns]), _TEXT).alias("row"),
+    )
+
+
+def _unpacked(found: DataFrame, like: DataFrame) -> DataFrame:
+    row = F.from_json("row", T.StructType([T.StructField(f.name, f.dataType) for f in like.schema]), _TEXT)
+    return found.select(row.alias("r"), "late").select("r.*", "late")
+
+
+def _frame(rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+    return pd.DataFrame({"row": rows["row"].to_numpy(), "late": np.full(len(rows), late)})
+
+
+@contextmanager
+def _rocks_db(spark: SparkSession) -> Iterator[None]:
+    """The state store that these processors need, for streams started inside."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS_DB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
+class Transitions(StatefulProcessor):
+    """False to true, row by row of a key, in the order of time and sequence inside a batch."""
+
+    def __init__(self, before_first: bool, forget_after_ms: int | None) -> None:
+        self.before_first, self.forget_after_ms = before_first, forget_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t long, seq long, up boolean", self.forget_after_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = self.last.get()
+        t, seq, up = seen if seen is not None else (_NONE, _NONE, self.before_first)
+        batch = pd.concat(list(rows), ignore_index=True)
+        fresh = (batch["t"] > _NONE) & ((batch["t"] > t) | ((batch["t"] == t) & (batch["seq"] > seq)))
+        ordered = batch[fresh].sort_values(["t", "seq"], kind="stable")
+        if len(ordered):
+            now = ordered["flag"].to_numpy()
+            yield _frame(ordered[now & ~np.append(up, now[:-1])], False)
+            end = ordered.iloc[-1]
+            self.last.update((int(end["t"]), int(end["seq"]), bool(end["flag"])))
+        if not fresh.all():
+            yield _frame(batch[~fresh], True)
+
+    def close(self) -> None:
+        pass
+
+
+class Cooldown(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them, and then go through the cooldown in order.
+
+    A row is late when the watermark has passed it on arrival: rows after it may be decided.
+    """
+
+    def __init__(self, cooldown: int) -> None:
+        self.cooldown = cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, seq long, flag boolean, row string")
+        self.fired = handle.getValueState("fired", "t long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, first: int) -> None:
+        """One timer for a key, for its earliest row that waits."""
+        at, set_ = first // 1000 + 1, self.timer.get()
+        if set_ is None or at < set_[0]:
+            if set_ is not None:
+                self.handle.deleteTimer(set_[0])
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            late = (batch["t"] == _NONE) | (batch["t"] // 1000 < watermark)
+            kept = batch[~late]
+            if len(kept):
+                self.waiting.appendList(list(kept[["t", "seq", "flag", "row"]].itertuples(index=False, name=None)))
+                self._wake(int(kept["t"].min()))
+            if late.any():
+                yield _frame(batch[late], True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.waiting.get()), columns=["t", "seq", "flag", "row"])
+        due = rows["t"] // 1000 < watermark
+        rest = rows[~due]
+        if len(rest):
+            self.waiting.put(list(rest.itertuples(index=False, name=None)))
+            self._wake(int(rest["t"].min()))
+        else:
+            self.waiting.clear()
+        ready = rows[due].sort_values(["t", "seq"], kind="stable")
+        if len(ready):
+            last = self.fired.get()
+            t = ready["t"].to_numpy(np.int64)
+            state = NEVER if last is None else last[0]
+            passes, after = passing(t, ready["flag"].to_numpy(bool), np.ones(len(t), bool), self.cooldown, state)
+            if passes.any():
+                self.fired.update((after,))
+                yield _frame(ready[passes], False)
+
+    def close(self) -> None:
+        pass
+
+
+def _start(found: DataFrame, folder: str, interval: str | None) -> StreamingQuery:
+    writer = (
+        found.writeStream.format("parquet").outputMode("append").partitionBy("late")
+        .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    )
+    with _rocks_db(found.sparkSession):
+        return with_trigger(writer, interval).start()
+
+
+def _written(like: DataFrame, folder: str, late: str) -> DataFrame:
+    schema = T.StructType([*like.schema, T.StructField("late", T.StringType())])
+    return like.sparkSession.read.schema(schema).parquet(f"{folder}/rows").where(F.col("late") == late).drop("late")
+
+
+def stream_results(like: DataFrame, folder: str) -> DataFrame:
+    """What a transition or cooldown stream over a table ``like`` this one has written so far."""
+    return _written(like, folder, "false")
+
+
+def late_rows(like: DataFrame, folder: str) -> DataFrame:
+    """The rows that came too late, as they came: they can be stored and streamed again, or joined to a batch run."""
+    return _written(like, folder, "true")
 
 
 def transition_stream(
@@ -83,24 +190,22 @@ def transition_stream(
     seq: str = "seq",
     initial: bool | None = None,
     interval: str | None = DEFAULT_INTERVAL,
+    forget_after_seconds: float | None = None,
 ) -> StreamingQuery:
-    """Changes of ``up`` from false to true, written to ``folder/results``."""
-
-    def step(rows: DataFrame, state: DataFrame | None):
-        known = rows.withColumn("_carried", F.lit(False))
-        if state is not None:
-            carried = state.select(
-                *keys, F.col("last_up").alias(up), F.col("last_ts").alias(ts), F.col("last_seq").alias(seq),
-                F.lit(True).alias("_carried"),
-            )
-            known = known.unionByName(carried, allowMissingColumns=True)
-        edges = transitions(known, keys, up, ts, seq, initial).where(~F.col("_carried")).drop("_carried")
-        after = latest_by(known.select(*keys, up, ts, seq), keys, [ts, seq]).select(
-            *keys, F.col(up).alias("last_up"), F.col(ts).alias("last_ts"), F.col(seq).alias("last_seq")
-        )
-        return edges, lambda written: after
-
-    return _run(stream, folder, step, keys, ts, seq, interval)
+    """Changes of ``up`` from false to true, written below ``folder`` (see `stream_results`).
+
+    The state of a key is its last row. Rows of a key that are not later than it, and rows
+    without a time, are late. A key not heard of for ``forget_after_seconds`` starts anew;
+    such a stream wakes by the clock, so it does not end by itself. A batch holds a key's new rows in memory: bound it by the source's rate.
+    """
+    ship_package(stream.sparkSession)
+    forget = None if forget_after_seconds is None else round(forget_after_seconds * 1000)
+    processor = Transitions(True if initial is None else initial, forget)
+    packed = _packed(stream, keys, ts, seq, F.col(up))
+    found = packed.groupBy("key").transformWithStateInPandas(
+        processor, outputStructType=_OUT, outputMode="Append", timeMode="None" if forget is None else "ProcessingTime"
+    )
+    return _start(_unpacked(found, stream), folder, interval)
 
 
 def throttle_stream(
@@ -112,21 +217,21 @@ def throttle_stream(
     seq: str = "seq",
     bypass: str | None = None,
     interval: str | None = DEFAULT_INTERVAL,
+    delay: str = "0 seconds",
 ) -> StreamingQuery:
-    """Rows that the cooldown lets through, written to ``folder/results``."""
-
-    def step(rows: DataFrame, state: DataFrame | None):
-        def at(df: DataFrame, time: str, number: str, fired) -> DataFrame:
-            place = F.struct(F.col(time).alias("ts"), F.col(number).alias("seq"))
-            return df.select(*keys, place.alias("_at"), fired.cast("timestamp_ntz").alias("_fired"))
-
-        def after(written: DataFrame) -> DataFrame:
-            parts = at(rows, ts, seq, F.lit(None)).unionByName(at(written, ts, seq, F.col(ts)))
-            if state is not None:
-                parts = parts.unionByName(at(state, "last_ts", "last_seq", F.col("last_fired")))
-            newest = parts.groupBy(*keys).agg(F.max("_at").alias("_at"), F.max("_fired").alias("last_fired"))
-            return newest.select(*keys, F.col("_at.ts").alias("last_ts"), F.col("_at.seq").alias("last_seq"), "last_fired")
-
-        return throttle(rows, keys, cooldown_seconds, ts, seq, bypass, state), after
-
-    return _run(stream, folder, step, keys, ts, seq, interval)
+    """Rows that the cooldown lets through, written below ``folder`` (see `stream_results`).
+
+    Rows may come in any order within ``delay`` of the newest time of the stream. They are
+    decided once the newest time is further on than that, so the last rows wait for later
+    ones. Rows that come later still, and rows without a time, are late.
+    """
+    ship_package(stream.sparkSession)
+    cooldown = round(cooldown_seconds * 1_000_000)
+    event_time = F.col(ts).cast("timestamp")
+    marked = stream.withColumn("_event_time", event_time).withWatermark("_event_time", delay)
+    # The copies below carry no watermark, so that late rows reach the processor.
+    packed = _packed(marked.drop("_event_time"), keys, ts, seq, F.col(bypass) if bypass else F.lit(False))
+    found = packed.groupBy("key").transformWithStateInPandas(
+        Cooldown(cooldown), outputStructType=_OUT, outputMode="Append", timeMode="EventTime"
+    )
+    return _start(_unpacked(found, stream), folder, interval)
