@@ -143,7 +143,7 @@ def test_a_key_is_forgotten(spark, tmp_path):
     query = transition_stream(stream, out, ["device"], interval="1 second", forget_after_seconds=2)
 
     def taken(n):  # such a stream is never out of work, so wait for its rows
-        end = time.time() + 40
+        end = time.time() + 20
         while time.time() < end and sum(p.numInputRows for p in query.recentProgress) < n:
             time.sleep(0.2)
 
@@ -159,17 +159,52 @@ def test_a_key_is_forgotten(spark, tmp_path):
 
 
 def test_latest_stream(spark, tmp_path):
-    rows, groups = ordered_groups(24)
+    rows, groups = ordered_groups(24, n=4)
+    groups = [[(i, *r[1:]) for i in range(n)] + g for n, (r, g) in zip((30, 2, 1, 0), zip(rows, groups))]
+    rows = [r for g in groups for r in g]
     out = str(tmp_path / "latest")
-    for stream, _ in in_batches(spark, tmp_path, groups):
-        latest = T.latest_stream(stream, ["device"], "ts", "seq")
-        finish(T.start_latest(latest, out, str(tmp_path / "cp"), None))
+    stream = in_files(spark, str(tmp_path / "in"), groups[:1])
+
+    def start():
+        finish(T.start_latest(T.latest_stream(stream, ["device"], "ts", "seq"), out, str(tmp_path / "cp"), ["device"], None, buckets=8))
+
+    def files():
+        return {f for f in tmp_path.glob("latest/batch=*/bucket=*/*.parquet")}
+
+    start()
+    planned = T.read_latest(spark, out, SCHEMA)
+    then = latest_by(spark.createDataFrame(groups[0], SCHEMA), ["device"], ["ts", "seq"]).collect()
+    for g in groups[1:]:
+        before = files()
+        in_files(spark, str(tmp_path / "in"), [g])
+        start()
+        assert before <= files() and len(files() - before) <= len({r[0] for r in g}) < 8
+    # A reader planned before three later batches still has its version.
+    assert sorted(map(str, planned.collect())) == sorted(map(str, then))
     expected = latest_by(spark.createDataFrame(rows, SCHEMA), ["device"], ["ts", "seq"])
-    assert sorted(map(str, T.read_latest(spark, out).collect())) == sorted(map(str, expected.collect()))
+    assert sorted(map(str, T.read_latest(spark, out, SCHEMA).collect())) == sorted(map(str, expected.collect()))
+    T._forget(spark, out, T._published(spark, out), 1)
+    assert len(T._published(spark, out)) == 1
+    assert sorted(map(str, T.read_latest(spark, out, SCHEMA).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_published_counter(spark, tmp_path):
+    rows, groups = ordered_groups(25, n=3)
+    counter = T.PublishedCounter()
+    spark.streams.addListener(counter)
+    try:
+        stream = in_files(spark, str(tmp_path / "in"), groups).select(F.to_json(F.struct("seq")).alias("value"))
+        finish(T.publish_stream(T.counted(stream), str(tmp_path / "cp"), "text", None, path=str(tmp_path / "topic")))
+        assert counter.ended.wait(30)
+    finally:
+        spark.streams.removeListener(counter)
+    assert list(counter.batches.values()) == [len(g) for g in groups] and counter.total == len(rows)
+    assert spark.read.text(str(tmp_path / "topic")).count() == len(rows)
 
 
 def test_ingest_publish_and_callback(spark, tmp_path):
-    landing, table, topic = tmp_path / "landing", str(tmp_path / "table"), str(tmp_path / "topic")
+    landing, table, topic = tmp_path / "landing", "ingested", str(tmp_path / "topic")
+    spark.sql("DROP TABLE IF EXISTS ingested")
     landing.mkdir()
     cycles = []
     for i in range(2):
@@ -177,12 +212,12 @@ def test_ingest_publish_and_callback(spark, tmp_path):
                  csv_line("2", "B", "garbage", "LG6400", "-1")]
         (landing / f"site{i}.csv").write_text("\n".join(lines) + "\n")
         readings = T.ingest_stream(spark, str(landing))
-        finish(T.start_ingest(readings, table, str(tmp_path / "cp1"), None))
+        finish(T.start_ingest(readings, table, str(tmp_path / "cp1"), None, path=str(tmp_path / "table")))
         messages = payload_stream(readings, F.lit("pi"), F.lit("192.0.2.1"))
         assert messages.columns == ["key", "value"]
         finish(T.publish_stream(messages, str(tmp_path / "cp2"), "text", None, path=topic))
         finish(T.on_batch(readings, lambda n, rows: cycles.append((n, rows.count())), str(tmp_path / "cp3"), None))
-    stored = spark.read.parquet(table)
+    stored = spark.table(table)
     assert stored.count() == 4 and stored.where("Time is null").count() == 2
     assert stored.where("quality = 'comm_failure'").count() == 2 and stored.select("site").distinct().count() == 2
     bodies = [json.loads(r.value) for r in spark.read.text(topic).collect()]
@@ -196,6 +231,39 @@ def test_ingest_publish_and_callback(spark, tmp_path):
     assert sorted(r.Meter_Name for r in spark.read.parquet(str(tmp_path / "back")).collect()) == ["A", "A", "B", "B"]
 
 
+def test_stream_prune_stream_on(spark, tmp_path):
+    now = dt.datetime(2025, 1, 20, 12)
+    at = lambda hours: now - dt.timedelta(hours=hours)
+    schema = "id int, Time timestamp_ntz, date date"
+    spark.sql("DROP TABLE IF EXISTS kept")
+
+    def arrive(rows):
+        spark.createDataFrame([(i, t, t and t.date()) for i, t in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        finish(T.start_ingest(stream, "kept", str(tmp_path / "cp"), None, path=str(tmp_path / "kept")))
+
+    def ids():
+        spark.catalog.refreshTable("kept")
+        return sorted(r.id for r in spark.table("kept").collect())
+
+    arrive([(i, at(12 * i)) for i in range(20)] + [(99, None)])
+    arrive([(100 + i, at(12 * i + 1)) for i in range(20)])
+    T.prune_table(spark, "kept", now)
+    assert ids() == [*range(15), 99, *range(100, 114)]
+    arrive([(200 + i, at(12 * i)) for i in range(20)])
+    assert ids() == [*range(15), 99, *range(100, 114), *range(200, 220)]
+    T.prune_table(spark, "kept", now)
+    T.prune_table(spark, "kept", now)
+    assert ids() == [*range(15), 99, *range(100, 114), *range(200, 215)]
+    # A batch that runs again replaces what it has written.
+    last = max(int(f.name) for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit())
+    (tmp_path / "cp" / "commits" / f"{last}").unlink()
+    (tmp_path / "cp" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    arrive([])
+    assert ids() == [*range(15), 99, *range(100, 114), *range(200, 220)]
+    spark.sql("DROP TABLE kept")
+
+
 def test_prune_table(spark, tmp_path):
     now = dt.datetime(2025, 1, 20, 12)
     rows = [(i, now - dt.timedelta(hours=6 * i)) for i in range(60)] + [(99, None)]

@@ -11,34 +11,48 @@ UNKNOWN = "Unknown"
 KNOWN_KEYS = ["name", "address", "model", "location"]
 
 
-def coalesce_alias(fields: Column | str) -> dict[str, Column]:
-    """Normalised device fields from a map of registry entries.
+def _whole(entries: Column, kinds: Column | None, key: str) -> Column:
+    """An entry as a whole number: numbers lose their fraction, true is one, a text must be a whole number."""
+    text = entries[key]
+    if kinds is None:
+        return to_integer(text)
+    kind = F.coalesce(kinds[key], F.lit("STRING"))
+    return (
+        F.when(kind == "STRING", to_integer(text))
+        .when(kind == "BOOLEAN", text.try_cast("boolean").cast("int"))
+        .otherwise(text.try_cast("double").try_cast("int"))
+    )
+
+
+def coalesce_alias(fields: Column | str, kinds: Column | str | None = None) -> dict[str, Column]:
+    """Normalised device fields from a map of registry entries, and a map of the types of their values.
 
     An empty name gives way to its aliases. The address follows key presence: a null
-    under ``address`` hides ``meter_address``. A ``model`` or ``location`` key that is
-    present stays as it is, even if empty.
+    under ``address`` hides ``meter_address``; without ``kinds`` all values count as text.
+    A ``model`` or ``location`` key that is present stays as it is, even if empty.
     """
     entries = F.col(fields) if isinstance(fields, str) else fields
+    types = F.col(kinds) if isinstance(kinds, str) else kinds
     has = lambda key: F.map_contains_key(entries, key)
     address = (
-        F.when(has("address"), entries["address"])
-        .when(has("meter_address"), entries["meter_address"])
-        .otherwise(entries["device_id"])
+        F.when(has("address"), _whole(entries, types, "address"))
+        .when(has("meter_address"), _whole(entries, types, "meter_address"))
+        .otherwise(_whole(entries, types, "device_id"))
     )
     model = F.coalesce(first_filled(entries, "meter_model", "type"), F.lit(""))
     location = F.coalesce(first_filled(entries, "site", "plant"), F.lit(UNKNOWN))
     return {
         "name": F.coalesce(first_filled(entries, "name", "meter_name", "device_name"), F.lit("")),
-        "address": to_integer(address),
+        "address": address,
         "model": F.when(has("model"), entries["model"]).otherwise(model),
         "location": F.when(has("location"), entries["location"]).otherwise(location),
-        "extra": F.map_filter(entries, lambda k, v: ~k.isin(*KNOWN_KEYS) | ((k == "address") & to_integer(v).isNull())),
+        "extra": F.map_filter(entries, lambda k, v: ~k.isin(*KNOWN_KEYS) | ((k == "address") & _whole(entries, types, "address").isNull())),
     }
 
 
-def normalize_registry(df: DataFrame, fields: str = "fields") -> DataFrame:
+def normalize_registry(df: DataFrame, fields: str = "fields", kinds: str = "kinds") -> DataFrame:
     """Add ``name, address, model, location`` and ``extra``, the entries kept as they are."""
-    return df.withColumns(coalesce_alias(fields))
+    return df.withColumns(coalesce_alias(fields, kinds if kinds in df.columns else None))
 
 
 def registry_defaults(df: DataFrame, pos: str = "pos", fields: str = "fields") -> DataFrame:

@@ -260,6 +260,12 @@ def registry(defaults: bool) -> str:
     """Devices of every customer's registry: one of four kinds, then an empty and a broken one."""
     empty_name, broken_name = ("'Meter_2'", "'Meter_3'") if defaults else ("''", "''")
     empty_address = "2" if defaults else "NULL"
+    # A number loses its fraction, a text must be whole, true is one; a fitting address is no extra entry.
+    numbers = [("7", 0), ("NULL", 1), ("-7", 1), ("1", 1), ("NULL", 1)]
+    others = "".join(
+        f"UNION ALL SELECT c_custkey, {pos}, {f"'Meter_{pos + 1}'" if defaults else "''"}, CAST({address} AS INTEGER), '', 'Unknown', {extras} FROM c\n"
+        for pos, (address, extras) in enumerate(numbers, 3)
+    )
     return f"""
 WITH c AS (SELECT *, c_custkey % 4 AS kind FROM customer WHERE c_custkey % 10 <> 9)
 SELECT c_custkey, 0 AS pos, c_name AS name, CASE WHEN kind <> 3 THEN CAST(c_custkey AS INTEGER) END AS address,
@@ -270,7 +276,7 @@ SELECT c_custkey, 0 AS pos, c_name AS name, CASE WHEN kind <> 3 THEN CAST(c_cust
 FROM c
 UNION ALL SELECT c_custkey, 1, {empty_name}, CAST({empty_address} AS INTEGER), '', 'Unknown', 0 FROM c
 UNION ALL SELECT c_custkey, 2, {broken_name}, CAST(NULL AS INTEGER), '', 'Unknown', 1 FROM c
-"""
+{others}"""
 
 
 DEVICES_PER_LOCATION = """
@@ -347,6 +353,43 @@ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, e
 CYCLE_EVERY_10 = f"SELECT * FROM ({CYCLES}) WHERE cycle % 10 = 0"
 
 
+PUBLISHED = """
+SELECT event_id % 4 AS batch, count(*) AS messages, (SELECT count(*) FROM events) AS rows_sent FROM events GROUP BY event_id % 4
+"""
+
+ON_BATCH = """
+SELECT event_id % 4 + 1 AS cycle, count(*) AS readings, arg_max(event_id, (ts, event_id)) AS newest FROM events GROUP BY event_id % 4
+"""
+
+PUBLISHED_READINGS = """
+SELECT CAST(user_id AS VARCHAR) AS device_id, event_type AS meter_name, date_trunc('second', ts) AS time, value AS watts_total, 'pi' AS pi_name
+FROM events
+"""
+
+_SHIFTED = ", ".join(
+    f"CASE WHEN quality = 'ok' THEN CAST(watts AS BIGINT) + {i} END AS {c.lower()}"
+    for i, c in enumerate(PARAM_COLUMNS) if c not in ("Watts_Total", "PF_Ave", "Frequency", "On_Hours")
+)
+EXPORTED = f"""
+WITH {TEXT}
+SELECT CAST(device_id AS INTEGER) AS device_id, meter_name, try_strptime(time_text, '%Y-%m-%d %H:%M:%S') AS time,
+  CASE WHEN quality = 'ok' THEN TRY_CAST(watts AS DOUBLE) END AS watts_total,
+  CASE WHEN quality = 'ok' THEN TRY_CAST(pf AS DOUBLE) END AS pf_ave,
+  CASE WHEN quality = 'ok' THEN TRY_CAST(watts AS DOUBLE) END AS frequency, CAST(hours AS BIGINT) AS on_hours, {_SHIFTED}, quality
+FROM text_readings
+"""
+
+STORED = f"SELECT {READING}, strftime(ts, '%Y-%m-%d') AS date FROM events"
+
+BY_LOCATION = f"""
+SELECT {READING}, 'Site' || (user_id % 5) AS location_key, strftime(ts, '%Y%m%d') AS date_key FROM events WHERE user_id % 5 IN (2, 4)
+"""
+
+LISTED = "SELECT DISTINCT strftime(ts, '%Y%m%d') AS date_key, TRUE AS filled, TRUE AS timed FROM events"
+
+OVERWRITTEN = f"SELECT {READING} FROM events WHERE event_type = 'error'"
+
+
 def crowded(sql: str) -> str:
     """The same over events of which a third belong to one device."""
     events = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,13 @@ from wattfleet.plans import oracles as O
 from wattfleet.plans import tables as D
 from wattfleet.schema import PARAM_COLUMNS
 from wattfleet.session import shared_folder
-from wattfleet.sources.payloads import build_payload, parse_payloads
+from wattfleet.sources.files import file_listing
+from wattfleet.sources.payloads import build_payload, parse_payloads, payload_stream, read_payloads
+from wattfleet.sources.readings import export_readings, read_readings, write_readings, write_readings_by
 from wattfleet.sources.registry import parse_registry, strip_comments
-from wattfleet.streaming.ingest import latest_stream, read_latest, start_latest
+from wattfleet.streaming.ingest import (
+    PublishedCounter, counted, latest_stream, on_batch, prune_table, publish_stream, read_latest, start_ingest, start_latest,
+)
 from wattfleet.streaming.stateful import stream_results, throttle_stream, transition_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -432,6 +437,57 @@ def payload_roundtrip(spark, sf):
     )
 
 
+# Files: written and read again
+
+
+@query(O.EXPORTED)
+def exported_readings(spark, sf):
+    """Text readings through text files with a header, malformed lines dropped, all parameters typed."""
+    out = shared_folder(spark, "export")
+    export_readings(D.wide_readings(spark, sf), out)
+    silver = Q.to_silver(Q.drop_malformed(read_readings(spark, out)))
+    numbers = [F.col(c).alias(c.lower()) for c in PARAM_COLUMNS]
+    return silver.select(F.col("Device_ID").alias("device_id"), F.col("Meter_Name").alias("meter_name"), F.col("Time").alias("time"), *numbers, "quality")
+
+
+@query(O.STORED)
+def stored_readings(spark, sf):
+    """Two appends to the table partitioned by date."""
+    out, df = shared_folder(spark, "stored"), D.readings(spark, sf)
+    write_readings(df.where(F.col("seq") % 2 == 0), out)
+    write_readings(df.where(F.col("seq") % 2 == 1), out)
+    return O.reading_columns(spark.read.parquet(out), F.col("date").cast("string").alias("date"))
+
+
+@query(O.BY_LOCATION)
+def readings_by_location(spark, sf):
+    """One folder for each location and day."""
+    out = shared_folder(spark, "by-location")
+    located = D.readings(spark, sf).withColumn("location", F.concat(F.lit("Site / "), (F.col("Device_ID") % 5).cast("string"), F.lit(" #")))
+    write_readings_by(located, out, ["location_key", "date_key"], "parquet")
+    rows = spark.read.option("basePath", out).parquet(f"{out}/location_key=Site2", f"{out}/location_key=Site4")
+    return O.reading_columns(rows, "location_key", F.col("date_key").cast("string").alias("date_key"))
+
+
+@query(O.LISTED)
+def listed_files(spark, sf):
+    """Folders of the readings files that a listing finds, with their number of files above none."""
+    out = shared_folder(spark, "listing")
+    write_readings_by(D.readings(spark, sf), out, ["date_key"], "csv")
+    files = file_listing(spark, out)
+    folder = F.regexp_extract("path", "date_key=([0-9]+)/[^/]+[.]csv$", 1)
+    return files.groupBy(folder.alias("date_key")).agg((F.min("size") > 0).alias("filled"), (F.min("mtime") > 0).alias("timed"))
+
+
+@query(O.OVERWRITTEN)
+def overwritten(spark, sf):
+    """A copy that replaces what was there."""
+    out, df = shared_folder(spark, "overwrite"), D.readings(spark, sf)
+    M.overwrite_all(df, out)
+    M.overwrite_all(df.where(F.col("Meter_Name") == "error"), out)
+    return O.reading_columns(spark.read.parquet(out))
+
+
 # One device with a third of all events
 
 
@@ -514,15 +570,75 @@ def _arriving(spark, sf, order, closed=False):
     return stream, span
 
 
+def _reading_stream(spark, sf, folder, parts=_SLICES):
+    """Readings as a stream of files that arrive one for a batch, dealt by number, so that times mix."""
+    rows = D.readings(spark, sf).withColumn("date", F.to_date("Time"))
+    for i in range(parts):
+        rows.where(F.col("seq") % parts == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query(O.LATEST.format(key="user_id"))
 def stream_latest(spark, sf):
     out = shared_folder(spark, "latest")
-    df = _stream(spark, sf).select(
-        F.col("user_id").alias("Device_ID"), F.col("event_type").alias("Meter_Name"), F.col("ts").alias("Time"),
-        F.col("value").alias("Watts_Total"), F.col("event_id").alias("seq"),
+    df = _reading_stream(spark, sf, f"{out}/in").drop("date")
+    start_latest(latest_stream(df, ["Device_ID"]), f"{out}/table", f"{out}/checkpoint", ["Device_ID"], None).awaitTermination()
+    return O.reading_columns(read_latest(spark, f"{out}/table", df.schema))
+
+
+@query(O.RETENTION)
+def pruned_table(spark, sf):
+    """A table that a stream fills and the retention prunes, in turn."""
+    out, table = shared_folder(spark, "ingest"), f"readings_{os.urandom(8).hex()}"
+    now = D.readings(spark, sf).agg(F.max("Time")).first()[0]
+    for parts in (1, 3):
+        stream = _reading_stream(spark, sf, f"{out}/in", parts) if parts == 1 else stream
+        start_ingest(stream, table, f"{out}/checkpoint", None, path=f"{out}/table").awaitTermination()
+        if now is not None:
+            prune_table(spark, table, now)
+    spark.catalog.refreshTable(table)
+    return O.reading_columns(spark.table(table))
+
+
+@query(O.PUBLISHED)
+def published_counts(spark, sf):
+    """Messages counted while they are sent, batch by batch."""
+    out, counter = shared_folder(spark, "published"), PublishedCounter()
+    spark.streams.addListener(counter)
+    try:
+        messages = payload_stream(_reading_stream(spark, sf, f"{out}/in"), F.lit("pi"), F.lit("192.0.2.1"))
+        query = publish_stream(counted(messages), f"{out}/checkpoint", "text", None, path=f"{out}/topic")
+        query.awaitTermination()
+        counter.ended.wait(60)
+    finally:
+        spark.streams.removeListener(counter)
+    sent = spark.read.text(f"{out}/topic").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame(sorted(counter.batches.items()), "batch long, messages long").withColumn("rows_sent", sent.scalar())
+
+
+@query(O.ON_BATCH)
+def batch_callback(spark, sf):
+    """The number of the cycle and the newest reading, told to a callback for every batch."""
+    out, told = shared_folder(spark, "callback"), []
+
+    def tell(cycle, rows):
+        newest = rows.agg(F.count(F.lit(1)).alias("n"), F.max_by("seq", F.struct("Time", "seq")).alias("seq")).first()
+        told.append((cycle, newest.n, newest.seq))
+
+    on_batch(_reading_stream(spark, sf, f"{out}/in"), tell, f"{out}/checkpoint", None).awaitTermination()
+    return spark.createDataFrame(told, "cycle long, readings long, newest long")
+
+
+@query(O.PUBLISHED_READINGS)
+def published_readings(spark, sf):
+    """Readings sent as messages by a stream, read from their folder by the consumer."""
+    out = shared_folder(spark, "topic")
+    messages = payload_stream(_reading_stream(spark, sf, f"{out}/in", 2), F.lit("pi"), F.lit("192.0.2.1"))
+    publish_stream(messages, f"{out}/checkpoint", "text", None, path=f"{out}/topic").awaitTermination()
+    return read_payloads(spark, f"{out}/topic", stream=False).select(
+        F.col("Device_ID").alias("device_id"), F.col("Meter_Name").alias("meter_name"), W.parse_reading_time("Time").alias("time"),
+        W.to_number("Watts_Total").alias("watts_total"), "pi_name",
     )
-    start_latest(latest_stream(df, ["Device_ID"]), f"{out}/table", f"{out}/checkpoint", None).awaitTermination()
-    return O.reading_columns(read_latest(spark, f"{out}/table"))
 
 
 @query(O.TRANSITIONS.format(initial="NULL"))

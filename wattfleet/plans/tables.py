@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattfleet.schema import PARAM_COLUMNS, READING_COLUMNS
 from wattfleet.session import prepare, ship_package
 
 
@@ -53,6 +54,18 @@ def text_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text readings with all parameters; each parameter repeats the first one, shifted by its place."""
+    text = text_readings(spark, sf_dir)
+    number = F.col("Watts_Total").try_cast("bigint")
+    plain = (F.col("Meter_Name") == "error") | (F.col("Meter_Name") == "signup")
+    shifted = {
+        c: F.when(plain, F.col("Watts_Total")).otherwise((number + i).cast("string"))
+        for i, c in enumerate(PARAM_COLUMNS) if c not in text.columns
+    }
+    return text.withColumns(shifted).select(*READING_COLUMNS)
+
+
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as status samples: up unless the event is an error."""
     return table(spark, sf_dir, "events").select(
@@ -126,10 +139,11 @@ def registry_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('{"name":"","device_name":"'), name, F.lit('","device_id":'), key, F.lit(',"model":"","plant":"P // '), segment, F.lit('"}')))
         .otherwise(F.concat(F.lit('{"name":"'), name, F.lit('","address":null,"meter_address":'), key, F.lit(',"serial":"x"}')))
     )
-    items = F.concat(F.lit('[ "stray", '), first, F.lit(', /* none */ {}, {"address":"x1"} ] // end'))
+    items = F.concat(F.lit('[ "stray", '), first, F.lit(', /* none */ {}, {"address":"x1"}, "{x", "{}", {"address": 7.0}, {"address": "7.0"}, {"meter_address": -7.9}, '
+              '{"device_id": true}, {"address": 1e300}, [{}] ] // end'))
     text = (
         F.when(F.col("c_custkey") % 3 == 0, items)
-        .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('{"devices": {"a": 1}, "meters": '), items, F.lit("\n}")))
+        .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('{"devices": "[{}]", "meters": '), items, F.lit("\n}")))
         .otherwise(F.concat(F.lit('{"items": '), items, F.lit("\n}")))
     )
     text = F.when(F.col("c_custkey") % 10 == 9, F.lit('{"other": [1]}')).otherwise(text)

@@ -77,3 +77,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none where it is absent."""
+    files, target = _folder(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package has written."""
+    files, target = _folder(spark, path)
+    files.delete(target, True)

@@ -27,20 +27,26 @@ def read_jsonc(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def parse_registry(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per device: ``pos`` in its list and ``fields``, a map of its entries.
+    """One row per device: ``pos`` in its list, ``fields``, a map of its entries, and ``kinds``, the types of their values.
 
     The text is a list, or an object whose first list among ``devices``, ``meters`` and
     ``items`` counts. Items that are not objects are dropped; another shape has no devices.
+    What a value is comes from its VARIANT form, so a string is never taken for an object
+    or a list. An object with repeated keys has no such form and is told by its text.
     """
     body = F.trim(F.regexp_replace(F.col(text), r"^\s+", ""))
-    wrapped = F.from_json(body, ", ".join(f"{k} string" for k in LIST_KEYS))
+    wrapped, typed = (F.from_json(body, ", ".join(f"{k} {kind}" for k in LIST_KEYS)) for kind in ("string", "variant"))
     lists = [F.when(body.startswith("["), body)]
-    lists += [F.when(wrapped[k].startswith("["), wrapped[k]) for k in LIST_KEYS]
-    items = F.from_json(F.coalesce(*lists), "array<string>")
-    kept = F.filter(items, lambda item: item.startswith("{"))
+    lists += [F.when(F.schema_of_variant(typed[k]).startswith("ARRAY"), wrapped[k]) for k in LIST_KEYS]
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.posexplode(kept).alias("pos", "_item")).select(
-        *others, "pos", F.from_json("_item", "map<string,string>").alias("fields")
+    listed = df.select(*others, F.coalesce(*lists).alias("_list"))
+    items = F.from_json("_list", "array<string>")
+    kinds = F.transform(F.from_json("_list", "array<variant>"), F.schema_of_variant)
+    told = F.arrays_zip(items.alias("item"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kind"))
+    kept = F.filter(told, lambda x: x["item"].isNotNull() & F.coalesce(x["kind"].startswith("OBJECT"), x["item"].startswith("{")))
+    return listed.select(*others, F.posexplode(kept).alias("pos", "_item")).select(
+        *others, "pos", F.from_json("_item.item", "map<string,string>").alias("fields"),
+        F.transform_values(F.from_json("_item.item", "map<string,variant>"), lambda _, v: F.schema_of_variant(v)).alias("kinds"),
     )
 
 
