@@ -22,7 +22,7 @@ from wattfleet.operators.transitions import transitions
 from wattfleet.plans import oracles as O
 from wattfleet.plans import tables as D
 from wattfleet.schema import PARAM_COLUMNS
-from wattfleet.session import shared_folder
+from wattfleet.session import shared_folder, stored
 from wattfleet.sources.files import file_listing
 from wattfleet.sources.payloads import build_payload, parse_payloads, payload_stream, read_payloads
 from wattfleet.sources.readings import export_readings, read_readings, write_readings, write_readings_by
@@ -444,7 +444,7 @@ def payload_roundtrip(spark, sf):
 def exported_readings(spark, sf):
     """Text readings through text files with a header, malformed lines dropped, all parameters typed."""
     out = shared_folder(spark, "export")
-    export_readings(D.wide_readings(spark, sf), out)
+    export_readings(stored(D.wide_readings(spark, sf), "wide"), out)
     silver = Q.to_silver(Q.drop_malformed(read_readings(spark, out)))
     numbers = [F.col(c).alias(c.lower()) for c in PARAM_COLUMNS]
     return silver.select(F.col("Device_ID").alias("device_id"), F.col("Meter_Name").alias("meter_name"), F.col("Time").alias("time"), *numbers, "quality")
