@@ -18,6 +18,25 @@ def latest_per_device(df: DataFrame, keys: list[str], ts: str = "Time", seq: str
     return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == 1).drop("_rank")
 
 
+def display_key(df: DataFrame) -> Column:
+    """The column that tells devices apart in a table of readings, by its name whatever the case.
+
+    ``Device_ID``; without it ``Meter_Name`` or ``Device_Name``, the later column of the
+    two; without any of them all rows are of one device, ``Unknown``.
+    """
+    plain = {c: c.strip().lower() for c in df.columns}
+    for wanted in (("device_id",), ("meter_name", "device_name")):
+        named = [c for c, name in plain.items() if name in wanted]
+        if named:
+            return F.col(f"`{named[-1]}`")
+    return F.lit("Unknown")
+
+
+def latest_for_display(df: DataFrame, ts: str = "Time", seq: str = "seq") -> DataFrame:
+    """Latest row of each device by `display_key`, in the column ``device``; rows without a key are one device."""
+    return latest_per_device(df.withColumn("device", display_key(df).cast("string")), ["device"], ts, seq)
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Latest row per key as an aggregate; also valid on a stream."""
     values = [c for c in df.columns if c not in keys]
@@ -41,7 +60,3 @@ def tail_n(df: DataFrame, order: list[str], n: int = 50) -> DataFrame:
 def union_sites(frames: list[DataFrame]) -> DataFrame:
     """Per-site sets as one; a column that a site lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def distinct_values(df: DataFrame, column: Column) -> DataFrame:
-    return df.select(column).distinct()

@@ -45,6 +45,14 @@ SELECT device_id, meter_name, time, watts_total, seq FROM (
 WHERE rn = 1
 """
 
+LATEST_FOR_DISPLAY = """
+WITH sites AS (
+  SELECT 0 AS site, CAST(user_id AS VARCHAR) AS device, ts AS time, event_id AS seq FROM events
+  UNION ALL SELECT 1, event_type, ts, event_id FROM events
+  UNION ALL SELECT 2, 'Unknown', ts, event_id FROM events)
+SELECT * FROM sites QUALIFY row_number() OVER (PARTITION BY site, device ORDER BY time DESC, seq DESC) = 1
+"""
+
 RETENTION = f"SELECT {READING} FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY"
 
 RETENTION_TEXT = f"""

@@ -17,6 +17,7 @@ from wattfleet.operators import registry as R
 from wattfleet.operators.cooldown import throttle
 from wattfleet.operators.cycles import cycle_counts, cycle_every, number_cycles
 from wattfleet.operators.latest import latest_by, latest_per_device, latest_source, tail_n, union_sites
+from wattfleet.operators.latest import latest_for_display as display
 from wattfleet.operators.mounts import copies_due
 from wattfleet.operators.transitions import transitions
 from wattfleet.plans import oracles as O
@@ -65,6 +66,20 @@ def latest_as_aggregate(spark, sf):
     return O.reading_columns(latest_by(D.readings(spark, sf), ["Device_ID"], ["Time", "seq"]))
 
 
+@query(O.LATEST_FOR_DISPLAY)
+def latest_for_display(spark, sf):
+    """Three sites whose headers name the device by id, by name only, and not at all."""
+    df = D.readings(spark, sf)
+    sites = [
+        df.withColumnRenamed("Device_ID", "DEVICE_id "), df.drop("Device_ID").withColumnRenamed("Meter_Name", "device_NAME"),
+        df.drop("Device_ID", "Meter_Name"),
+    ]
+    shown = [
+        display(site).select(F.lit(i).cast("bigint").alias("site"), "device", F.col("Time").alias("time"), "seq") for i, site in enumerate(sites)
+    ]
+    return union_sites(shown)
+
+
 @query(O.RETENTION)
 def retention_7d(spark, sf):
     df = D.readings(spark, sf)
