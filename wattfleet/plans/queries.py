@@ -596,7 +596,7 @@ def _reading_stream(spark, sf, folder, parts=_SLICES):
 @query(O.LATEST.format(key="user_id"))
 def stream_latest(spark, sf):
     out = shared_folder(spark, "latest")
-    df = _reading_stream(spark, sf, f"{out}/in").drop("date")
+    df = _reading_stream(spark, sf, f"{out}/in", 2).drop("date")
     start_latest(latest_stream(df, ["Device_ID"]), f"{out}/table", f"{out}/checkpoint", ["Device_ID"], None).awaitTermination()
     return O.reading_columns(read_latest(spark, f"{out}/table", df.schema))
 

@@ -52,8 +52,16 @@ def _unpacked(found: DataFrame, like: DataFrame) -> DataFrame:
     return found.select(row.alias("r"), "late").select("r.*", "late")
 
 
-def _frame(rows: pd.DataFrame, late: bool) -> pd.DataFrame:
-    return pd.DataFrame({"row": rows["row"].to_numpy(), "late": np.full(len(rows), late)})
+def _columns(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, ...]:
+    """Time, sequence, flag and text of a key's rows in a batch."""
+    parts = list(rows)
+    return tuple(np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "seq", "flag", "row"))
+
+
+def _told(results: np.ndarray, late: np.ndarray) -> Iterator[pd.DataFrame]:
+    if len(results) or len(late):
+        flags = np.arange(len(results) + len(late)) >= len(results)
+        yield pd.DataFrame({"row": np.concatenate([results, late]), "late": flags})
 
 
 @contextmanager
@@ -82,16 +90,15 @@ class Transitions(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen = self.last.get()
         t, seq, up = seen if seen is not None else (_NONE, _NONE, self.before_first)
-        batch = pd.concat(list(rows), ignore_index=True)
-        fresh = (batch["t"] > _NONE) & ((batch["t"] > t) | ((batch["t"] == t) & (batch["seq"] > seq)))
-        ordered = batch[fresh].sort_values(["t", "seq"], kind="stable")
-        if len(ordered):
-            now = ordered["flag"].to_numpy()
-            yield _frame(ordered[now & ~np.append(up, now[:-1])], False)
-            end = ordered.iloc[-1]
-            self.last.update((int(end["t"]), int(end["seq"]), bool(end["flag"])))
-        if not fresh.all():
-            yield _frame(batch[~fresh], True)
+        times, numbers, flags, texts = _columns(rows)
+        fresh = (times > _NONE) & ((times > t) | ((times == t) & (numbers > seq)))
+        order = np.lexsort((numbers, times))
+        order = order[fresh[order]]
+        now = flags[order].astype(bool)
+        changes = order[now & ~np.append(up, now[:-1])] if len(order) else order
+        if len(order):
+            self.last.update((int(times[order[-1]]), int(numbers[order[-1]]), bool(now[-1])))
+        yield from _told(texts[changes], texts[~fresh])
 
     def close(self) -> None:
         pass
@@ -123,35 +130,34 @@ class Cooldown(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
-            late = (batch["t"] == _NONE) | (batch["t"] // 1000 < watermark)
-            kept = batch[~late]
-            if len(kept):
-                self.waiting.appendList(list(kept[["t", "seq", "flag", "row"]].itertuples(index=False, name=None)))
-                self._wake(int(kept["t"].min()))
-            if late.any():
-                yield _frame(batch[late], True)
+        times, numbers, flags, texts = _columns(rows)
+        late = (times == _NONE) | (times // 1000 < watermark)
+        if not late.all():
+            kept = [c[~late].tolist() for c in (times, numbers, flags, texts)]
+            self.waiting.appendList(list(zip(*kept, strict=True)))
+            self._wake(min(kept[0]))
+        yield from _told(texts[:0], texts[late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         watermark = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=["t", "seq", "flag", "row"])
-        due = rows["t"] // 1000 < watermark
-        rest = rows[~due]
-        if len(rest):
-            self.waiting.put(list(rest.itertuples(index=False, name=None)))
-            self._wake(int(rest["t"].min()))
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        due = sum(r[0] // 1000 < watermark for r in rows)
+        rest = rows[due:]
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
         else:
             self.waiting.clear()
-        ready = rows[due].sort_values(["t", "seq"], kind="stable")
-        if len(ready):
+        if due:
             last = self.fired.get()
-            t = ready["t"].to_numpy(np.int64)
             state = NEVER if last is None else last[0]
-            passes, after = passing(t, ready["flag"].to_numpy(bool), np.ones(len(t), bool), self.cooldown, state)
+            t, flags = np.array([r[0] for r in rows[:due]], np.int64), np.array([r[2] for r in rows[:due]], bool)
+            passes, after = passing(t, flags, np.ones(due, bool), self.cooldown, state)
             if passes.any():
                 self.fired.update((after,))
-                yield _frame(ready[passes], False)
+                texts = np.array([r[3] for r in rows[:due]], object)
+                yield from _told(texts[passes], texts[:0])
 
     def close(self) -> None:
         pass
