@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattfleet.llm.rows import as_rows
 from wattfleet.session import stored
 
 WINDOW = 13
@@ -170,7 +171,5 @@ def keep_clean(
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     found = contamination(docs, items, id_col, text_col, item_col, item_text_col, window, shingle)
     dirty = stored(found.where("contaminated").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "dirty")
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    return marked.join(
-        dirty, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti"
-    ).drop("_text_hash")
+    same = (F.xxhash64(F.col("row")[text_col]) == F.col("_hash")) & F.col("row")[id_col].eqNullSafe(F.col("_id"))
+    return as_rows(docs).join(dirty, same, "left_anti").select("row.*")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattfleet.llm.rows import as_rows
 from wattfleet.session import stored
 
 WINDOW = 8
@@ -219,7 +220,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that `quality` keeps, with all their columns."""
-    model = fit_table(measure(docs, id_col, text_col))
-    columns = docs.columns
-    marked = docs.select(F.struct(*columns).alias("_row"), stats(F.col(text_col)).alias("_stats"))
-    return judged(marked, model, "_stats").where("kept").select("_row.*")
+    measured = as_rows(docs).select("row", stats(F.col("row")[text_col]).alias("stats"))
+    measured = stored(measured, "stats")  # the model needs all votes before the first verdict
+    return judged(measured, fit_table(measured)).where("kept").select("row.*")

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattfleet.llm.components import connected_components
+from wattfleet.llm.rows import as_rows
 from wattfleet.session import stored
 
 SEED = 42
@@ -193,7 +194,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_dist
         "fingerprints",
     )
     by_print = prints.groupBy("fp").agg(F.min("id").alias("smallest"))
-    labels = connected_components(near_links(by_print, "fp", max_distance))
+    links = stored(near_links(by_print, "fp", max_distance), "near-links")
+    labels = connected_components(links)
     rooted = by_print.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "smallest", F.coalesce("component", "fp").alias("root")
     )
@@ -232,17 +234,11 @@ def keep_one(
         F.col("k.id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"), F.col("k.rows").alias("_rows")
     )
     kept = stored(kept, "kept")
-    marked = docs.withColumn("_hash", F.xxhash64(text_col))
-    staying = marked.join(
-        kept.select("_kept_id", "_kept_hash").distinct(),
-        (F.col("_hash") == F.col("_kept_hash")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi",
-    ).drop("_hash")
-    if kept.where("_rows > 1").isEmpty():
-        return staying
+    rows = as_rows(docs)
+    same = (F.xxhash64(F.col("row")[text_col]) == F.col("_kept_hash")) & F.col("row")[id_col].eqNullSafe(F.col("_kept_id"))
+    single = rows.join(kept.where("_rows = 1"), same, "left_semi")
     # Rows repeated with id and text are told apart by their other columns.
-    columns = staying.columns
-    order = F.struct(*[F.struct(F.col(c).isNull(), F.col(c).cast("string")) for c in columns])
-    one = staying.groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).agg(
-        F.min_by(F.struct(*columns), order).alias("_row")
-    )
-    return one.select("_row.*")
+    repeated = rows.join(kept.where("_rows > 1"), same).groupBy("_kept_id", "_kept_hash").agg(
+        F.min_by("row", F.to_json("row")).alias("row")
+    ).select("row")
+    return single.unionByName(repeated).select("row.*")
