@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattfleet.llm.arrays import matches
+from wattfleet.llm.arrays import bound, matches
 from wattfleet.session import stored
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -110,18 +110,19 @@ def credible_patterns(instances: DataFrame, rounds: int = ROUNDS, credible: floa
 
 def _tokens(text: Column) -> Column:
     """Structs ``(start, end, token, left, right)`` of the tokens with a digit and the words beside them."""
-    found = matches(text, F.lit(_TOKEN), F.length)
-    after = F.concat(F.slice(F.transform(found, lambda m: m["before"]), 2, F.size(found)),
-                     F.array(F.element_at(F.split(text, F.lit(_TOKEN), -1), -1)))
-
     def flat(piece: Column) -> Column:
         return F.translate(piece, "\t\n\x0b\x0c\r", " " * 5)
 
-    return F.zip_with(found, after, lambda m, a: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("token"),
-        F.substring_index(F.rtrim(flat(m["before"])), " ", -1).alias("left"),
-        F.substring_index(F.ltrim(flat(a)), " ", 1).alias("right"),
-    ))
+    def told(found: Column) -> Column:
+        rest = F.array(F.element_at(F.split(text, F.lit(_TOKEN), -1), -1))
+        after = F.concat(F.slice(F.transform(found, lambda m: m["before"]), 2, F.size(found)), rest)
+        return F.zip_with(found, after, lambda m, a: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("token"),
+            F.substring_index(F.rtrim(flat(m["before"])), " ", -1).alias("left"),
+            F.substring_index(F.ltrim(flat(a)), " ", 1).alias("right"),
+        ))
+
+    return bound(matches(text, F.lit(_TOKEN), F.length), told)
 
 
 def _instances(spans: DataFrame) -> DataFrame:
