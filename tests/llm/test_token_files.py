@@ -70,6 +70,25 @@ def test_empty_table(spark):
     assert T.read_tokens(spark, T.write_tokens(docs, PATH, 2)).count() == 0
 
 
+def test_the_grammar_pays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    files = spark.read.parquet(T.write_tokens(docs, PATH, 2, shard_ids=1 << 20))
+    ids, size = files.agg(F.sum("n_ids"), F.sum(F.length("shard"))).first()
+    assert ids > 500_000 and size < 0.7 * 4 * ids
+
+
+def test_plain_pattern_equals_the_full_one():
+    encoder = T.encoder(PATH)
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x21, 0x220) if not chr(c).isspace()]
+    for _ in range(5000):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(0, 8)))
+        ids = np.array(TOKENIZER.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode(word) == ids
+        if not word.lower() or max(word.lower()) < "\u0220":
+            assert encoder.plain.findall(word.lower()) == encoder.pattern.findall(word.lower())
+
+
 def test_query_digests(spark, sf_dir):
     from wattfleet.llm.queries import QUERIES
 

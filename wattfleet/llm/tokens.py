@@ -9,6 +9,7 @@ encodes whole texts.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -30,6 +31,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _ranges(kind: str) -> str:
+    """The characters below `_STABLE` of a general category, as the inside of a character class."""
+    codes = [c for c in range(ord(_STABLE)) if unicodedata.category(chr(c))[0] == kind]
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+def _plain_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of characters below `_STABLE`, without properties, which the standard library lacks."""
+    if re.search(r"\\[a-zA-Z]", re.sub(r"\[[^\]]*\]", "", pattern)):
+        return None  # a class outside brackets
+    for name, inside in ((r"\p{L}", _ranges("L")), (r"\p{N}", _ranges("N")), (r"\s", r"\t-\r \x85\xa0")):
+        pattern = pattern.replace(name, inside)
+    return None if r"\p" in pattern else re.compile(pattern)
+
+
 class Encoder:
     """Ids of texts as bytes, each id a little-endian unsigned 32-bit integer."""
 
@@ -38,6 +56,8 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.pattern = self._word_pattern(spec)
+        self.plain = _plain_pattern(self.pattern.pattern) if self.pattern else None
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
@@ -64,7 +84,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         mapped = "".join(map(self.letters.__getitem__, piece.encode("utf-8")))
-        found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
         if len(self.pieces) >= _PIECES:
             self.pieces.clear()
         self.pieces[piece] = found
@@ -74,8 +94,10 @@ class Encoder:
         if "<|" in word or (not word.isascii() and (max(word) >= _STABLE or not unicodedata.is_normalized("NFC", word))):
             found = self._whole(word)  # special tokens, and characters whose classes differ between libraries
         else:
-            known = self.pieces.get
-            found = b"".join([known(p) or self._piece(p) for p in self.pattern.findall(word.lower())])
+            known, lowered = self.pieces.get, word.lower()
+            plain = self.plain is not None and (lowered.isascii() or max(lowered) < _STABLE)
+            pieces = (self.plain if plain else self.pattern).findall(lowered)
+            found = b"".join([known(p) or self._piece(p) for p in pieces])
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         self.words[word] = found
