@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from wattfleet.llm import quality as Q
 
@@ -67,3 +68,15 @@ def test_rows_and_verdicts(spark, sf_dir):
     assert stay.columns == docs.columns and stay.count() == sum(r.kept for r in got)
     empty = docs.where("false")
     assert Q.quality(empty).count() == 0 and Q.keep_good(empty).count() == 0
+
+
+def test_combinations_give_the_model_of_single_documents():
+    rng = np.random.default_rng(3)
+    good = rng.random(3000) < 0.7
+    votes = np.where(rng.random((3000, 6)) < 0.2, -1, (rng.random((3000, 6)) < 0.85) == good[:, None]).astype(np.int64)
+    combinations, counts = np.unique(votes, axis=0, return_counts=True)
+    together = Q.fit(combinations, counts.astype(float))
+    single = Q.fit(votes, np.ones(len(votes)))
+    assert together.prior == pytest.approx(single.prior, abs=1e-6)
+    assert together.right_if_good == pytest.approx(single.right_if_good, abs=1e-6) and together.right_if_bad == pytest.approx(single.right_if_bad, abs=1e-6)
+    assert abs(together.prior - 0.7) < 0.05 and all(abs(x - 0.85) < 0.05 for x in together.right_if_good)
