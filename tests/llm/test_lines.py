@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,41 @@ def test_bands_find_similar_lines():
     assert total > 500 and hit >= 0.99 * total
 
 
+@pytest.mark.parametrize("similarity,recall", [(0.8, 0.97), (0.85, 0.99), (0.9, 0.999)])
+@pytest.mark.parametrize("length", [40, 150, 600])
+def test_recall_of_bands(similarity, recall, length):
+    rng = random.Random(length)
+    hit = total = 0
+    while total < 600:
+        a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(length))
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, length // 50))):
+            b[rng.randrange(length)] = rng.choice("uvwxyz")
+        b = "".join(b)
+        if rng.random() < 0.5:
+            b += "".join(rng.choice("qrst") for _ in range(rng.randint(0, length // 6)))
+        if similarity <= L.jaccard(a, b) < similarity + 0.03:
+            x, y = L.band_keys(L.signatures([a, b]))
+            total, hit = total + 1, hit + bool((x == y).any())
+    assert hit >= recall * total
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = random.Random(11)
+    for _ in range(1500):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 900)))
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 40))):
+            b[rng.randrange(len(b))] = rng.choice("xyz")
+        b = "".join(b) + "tail" * rng.randint(0, 3)
+        n, bits = L.sketches([a, b])
+        assert n.tolist() == [len(shingles(a)), len(shingles(b))]
+        ones = np.bitwise_count(bits.view(np.uint64)).sum(axis=1)
+        both = int(np.bitwise_count((bits[0] & bits[1]).view(np.uint64)).sum())
+        bound = min((n[0] - (ones[0] - both)) / (n[0] + ones[1] - both), (n[1] - (ones[1] - both)) / (n[1] + ones[0] - both))
+        assert L.jaccard(a, b) <= bound + 1e-12
+
+
 @pytest.mark.parametrize("batches", [1, 3, 7])
 def test_shared_keys_over_batches(batches):
     import pyarrow as pa
