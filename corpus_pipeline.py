@@ -19,10 +19,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat or nearly repeat; a document left without any line goes."""
     ship_package(spark)
-    found = lines.dedup_lines(docs)
-    left = found.where("n_lines = 0 or n_removed < n_lines")
-    changed = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    counted, removed = (_fresh(docs, name) for name in ("n_lines", "n_removed"))
+    found = lines.dedup_lines(docs, counts=(counted, removed))
+    left = found.where((F.col(counted) == 0) | (F.col(removed) < F.col(counted)))
+    chars = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.withColumn("n_chars", chars).drop(counted, removed)
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
