@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from wattfleet.llm import substrings as S
@@ -72,6 +74,27 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     assert sorted(zip(line.tolist(), number.tolist(), strict=True)) == [(1, 0), (2, 0), (2, 1)]
 
 
+def test_blocks_hold_a_bounded_stretch_of_text(monkeypatch):
+    monkeypatch.setattr(S, "_BATCH", 10_000)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array(texts)], ["id", "text_hash", "text"])
+    blocks = list(S._cut(13, 1)(iter([batch])))
+    assert len(blocks) > 10 and max(b.column(1)[0].as_py() for b in blocks) < 2000
+    windows = sum(len(t) - 12 for text in (zstandard.decompress(b.column(3)[0].as_py()) for b in blocks) for t in map(bytes.split, text.split(b"\n")))
+    assert windows == 60 * (400 - 12)
+
+
+def test_word_hashes_do_not_depend_on_their_stretch(monkeypatch):
+    text = b" ".join(b"x" * (i % 40 + 1) + b"%d" % (i % 7) for i in range(500)) + b"\n" + b"y" * 9000
+    start, end, _ = S._words(text)
+    whole = S._word_hashes(text, start, end)
+    monkeypatch.setattr(S, "_HASHED", 64)
+    assert (S._word_hashes(text, start, end) == whole).all()
+    words = [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    assert len(set(whole.tolist())) == len(set(words))
+
+
 def test_query_over_test_documents(spark, sf_dir):
     from wattfleet.llm.queries import QUERIES
 

@@ -7,10 +7,10 @@ sent about three times instead of `window` times. Equal windows have equal minim
 and meet in one bucket, where sorting brings them together. Hashes sort; where two are
 equal the words themselves are compared.
 
-Identical strings within a batch of documents are settled before they travel: all but
+Identical strings within some megabytes of text are settled before they travel: all but
 those of the smallest document are repeats already. So a passage that millions of
-documents share sends one string per batch. The strings for one group of buckets form
-one compressed block per batch.
+documents share sends one string for each such batch. The strings for one group of
+buckets form one compressed block per batch.
 """
 
 from __future__ import annotations
@@ -31,8 +31,12 @@ from wattfleet.session import stored
 WINDOW = 13
 _RUN = 2
 #: Bytes of text worked on at a time; longer texts are cut into parts that overlap by a window less one word.
-_CHUNK = 1 << 21
-_PART_WORDS = 200_000
+_CHUNK = 1 << 19
+_PART_WORDS = 50_000
+#: Bytes of text whose strings are compared, and dealt in blocks, together.
+_BATCH = 1 << 23
+#: Bytes hashed at a time.
+_HASHED = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LAST = np.iinfo(np.int64).max  # stands for a null id: larger than any other
@@ -60,7 +64,7 @@ class Hasher:
 
     def __init__(self, buffer: bytes) -> None:
         data = np.frombuffer(buffer, np.uint8)
-        up, self.down = _powers(max(22, (len(data) + 1).bit_length()))
+        up, self.down = _powers(max(_HASHED.bit_length(), (len(data) + 1).bit_length()))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
@@ -68,6 +72,28 @@ class Hasher:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def _word_hashes(buffer: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word of a buffer; sums of prefixes take eight times the bytes, so they are made for a stretch at a time."""
+    hashes = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(int(np.searchsorted(end, start[a] + _HASHED, "right")), a + 1)
+        at = int(start[a])
+        hashes[a:b] = Hasher(buffer[at : int(end[b - 1])])(start[a:b] - at, end[a:b] - at)
+        a = b
+    return hashes
+
+
+def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` consecutive ones."""
+    n = len(hashes) - width + 1
+    runs = hashes[:n].copy()
+    for i in range(1, width):
+        runs *= np.uint64(_BASE)
+        runs += hashes[i : i + n]
+    return _mix(runs)
+
+
 def _words(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and line of each word of lines joined by newlines, words being joined by single spaces."""
     data = np.frombuffer(buffer, np.uint8)
@@ -91,11 +117,7 @@ def _super_kmers(buffer: bytes, window: int) -> tuple[np.ndarray, ...]:
     n = len(start) - window + 1
     if n < 1:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    hashes = Hasher(buffer)(start, end)
-    runs = hashes[: len(hashes) - _RUN + 1].copy()
-    for i in range(1, _RUN):
-        runs = _mix(runs * np.uint64(_BASE) + hashes[i : len(hashes) - _RUN + 1 + i])
-    least = _smallest(runs, window - _RUN + 1)
+    least = _smallest(_runs(_word_hashes(buffer, start, end), _RUN), window - _RUN + 1)
     valid = line[:n] == line[window - 1 :]
     head = valid & np.r_[True, (least[1:] != least[:-1]) | ~valid[:-1]]
     first = np.flatnonzero(head)
@@ -107,16 +129,24 @@ def _super_kmers(buffer: bytes, window: int) -> tuple[np.ndarray, ...]:
 def _cut(window: int, groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            yield from blocks(parts(batch))
+            for part in parts(batch):
+                held.append(part)
+                size += len(part[3])
+                if size >= _BATCH:
+                    yield from blocks(held)
+                    held, size = [], 0
+        yield from blocks(held)
 
     def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
-        for doc, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
+        for doc, text_hash, text in zip(*batch.columns[:3], strict=True):
+            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            name = _LAST if doc.as_py() is None else doc.as_py()
             for at in range(0, max(len(words) - window + 1, 0), _PART_WORDS):
-                yield _LAST if doc is None else doc, text_hash, at, b" ".join(words[at : at + _PART_WORDS + window - 1])
+                yield name, text_hash.as_py(), at, b" ".join(words[at : at + _PART_WORDS + window - 1])
 
-    def blocks(items: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def blocks(items: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         docs, hashes, starts, strings, keys = [], [], [], [], []
         part: list[tuple[int, int, int, bytes]] = []
 
@@ -182,7 +212,7 @@ def repeated_windows(text: bytes, doc: np.ndarray, window: int) -> tuple[np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.flatnonzero(line[:n] == line[window - 1 :])
     a, b, owner = start[at], end[at + window - 1], doc[line[at]]
-    hashes = Hasher(text)(a, b)
+    hashes = _runs(_word_hashes(text, start, end), window)[at]
     order = np.lexsort((owner, hashes))
     same = np.r_[False, hashes[order][1:] == hashes[order][:-1]]
     members = np.flatnonzero(same | np.r_[same[1:], False])
@@ -206,7 +236,8 @@ def _counted(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for number in range(len(batch)):
+                row = batch.slice(number, 1).to_pylist()[0]
                 if row["group"] != group:
                     yield from ranges(held)
                     group, held = row["group"], []
