@@ -11,6 +11,7 @@ from wattfleet.operators import manifest as M
 from wattfleet.operators import quality as Q
 from wattfleet.operators import registers as G
 from wattfleet.operators import registry as R
+from wattfleet.plans import tables as D
 from wattfleet.schema import MODELS, PARAM_COLUMNS, READING_COLUMNS, register_map_long
 from wattfleet.sources import files as S
 from wattfleet.sources import payloads as P
@@ -377,3 +378,13 @@ def test_published_count(spark, tmp_path):
     df, seen = P.published_count(spark.range(7))
     df.write.parquet(str(tmp_path / "out"))
     assert seen.get["messages"] == 7
+
+
+def test_registry_texts_of_one_small_file_are_parsed_by_several_tasks(spark, tmp_path):
+    rows = [(i, f"Customer {i}", "SEGMENT") for i in range(1, 201)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    texts = D.registry_texts(spark, str(tmp_path))
+    sizes = [n for n in texts.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert len(sizes) > 1 and max(sizes) < 200 and sum(sizes) == 200
+    plan = SR.parse_registry(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattfleet.schema import PARAM_COLUMNS, READING_COLUMNS
-from wattfleet.session import prepare, ship_package
+from wattfleet.session import dealt, prepare, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,7 +128,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small registry file per customer, in one of four shapes, with comments and alias keys."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
     key, name, segment = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")
     first = (
         F.when(F.col("c_custkey") % 4 == 0, F.concat(

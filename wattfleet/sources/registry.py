@@ -34,11 +34,13 @@ def parse_registry(df: DataFrame, text: str = "text") -> DataFrame:
     What a value is comes from its VARIANT form, so a string is never taken for an object
     or a list. An object with repeated keys has no such form and is told by its text.
     """
-    body = F.trim(F.regexp_replace(F.col(text), r"^\s+", ""))
+    others = [c for c in df.columns if c != text]
+    # A column of its own, so that it is made once and not in each expression below.
+    df = df.select(*others, F.trim(F.regexp_replace(F.col(text), r"^\s+", "")).alias(text))
+    body = F.col(text)
     wrapped, typed = (F.from_json(body, ", ".join(f"{k} {kind}" for k in LIST_KEYS)) for kind in ("string", "variant"))
     lists = [F.when(body.startswith("["), body)]
     lists += [F.when(F.schema_of_variant(typed[k]).startswith("ARRAY"), wrapped[k]) for k in LIST_KEYS]
-    others = [c for c in df.columns if c != text]
     listed = df.select(*others, F.coalesce(*lists).alias("_list"))
     items = F.from_json("_list", "array<string>")
     kinds = F.transform(F.from_json("_list", "array<variant>"), F.schema_of_variant)
