@@ -2,6 +2,8 @@ import datetime as dt
 import json
 import time
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from wattfleet.operators.latest import latest_by
 from wattfleet.schema import PARAM_COLUMNS
 from wattfleet.sources.payloads import payload_stream, read_payloads
 from wattfleet.streaming import ingest as T
+from wattfleet.streaming import stateful as ST
 from wattfleet.streaming.stateful import late_rows, stream_results, throttle_stream, transition_stream
 
 
@@ -158,6 +161,31 @@ def test_a_key_is_forgotten(spark, tmp_path):
     assert results(spark, out) == [1] and results(spark, out, late_rows) == []
 
 
+def test_keys_of_a_bucket_are_told_apart(monkeypatch):
+    calls = []
+    monkeypatch.setattr(ST, "_told", lambda found, late: calls.append((sorted(found), sorted(late))) or iter(()))
+
+    class State:
+        exists, hasTimedOut, value = False, False, None
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        @property
+        def get(self):
+            return self.value
+
+    def rows(*items):
+        return iter([pd.DataFrame(items, columns=["key", "t", "seq", "flag", "row"])])
+
+    state, run = State(), ST._transitions(True, None)
+    list(run((0,), rows(("a", 2, 0, True, "a2"), ("a", 1, 0, False, "a1"), ("b", 1, 0, True, "b1"), ("c", ST._NONE, 0, True, "c")), state))
+    list(run((0,), rows(("b", 2, 0, False, "b2"), ("b", 3, 0, True, "b3"), ("a", 2, 0, True, "a2"), ("c", 1, 0, False, "c1")), state))
+    list(run((0,), rows(("c", 2, 0, True, "c2"), ("a", 2, 1, False, "a3"), ("a", 2, 2, True, "a4")), state))
+    assert calls == [(["a2"], ["c"]), (["b3"], ["a2"]), (["a4", "c2"], [])]
+    assert len(pa.ipc.open_stream(state.value[0]).read_all()) == 3
+
+
 def test_latest_stream(spark, tmp_path):
     rows, groups = ordered_groups(24, n=4)
     groups = [[(i, *r[1:]) for i in range(n)] + g for n, (r, g) in zip((30, 2, 1, 0), zip(rows, groups))]

@@ -576,7 +576,8 @@ def _arriving(spark, sf, order, closed=False):
     part = F.least(F.floor(at / (span / _SLICES)), F.lit(_SLICES - 1))
     folder = shared_folder(spark, "arriving")
     for i in order:
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+        # Small row groups, so that several tasks read the file of a batch; several tasks choose its rows, too.
+        rows.where(part == i).repartition(1).write.mode("append").option("parquet.block.size", 1 << 23).parquet(folder)
     if closed:
         closing = rows.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(2 * span))).alias("ts"))
         nothing = {"user_id": F.lit(None).cast("bigint"), "event_id": F.lit(None).cast("bigint"), "up": F.lit(False)}

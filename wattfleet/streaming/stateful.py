@@ -1,8 +1,9 @@
 """Transitions and cooldowns on live streams, on Spark's keyed state.
 
-Both are stateful processors on a stream grouped by its keys; the state lies in the
-RocksDB state store below the stream's checkpoint, and a batch changes only the state of
-the keys it holds. A row travels as text beside the few numbers that the rules need, so
+The state lies in the RocksDB state store below the stream's checkpoint. Cooldowns keep
+one for each key; a batch changes only the states of the keys it holds. Transitions keep
+the last rows of all keys of a bucket together, and a batch changes the buckets it holds:
+a call of Python for each key would cost more than the work on its rows. A row travels as text beside the few numbers that the rules need, so
 that no column changes its type on the way.
 
 The results are written with a column ``late``: rows that came too late to be put in
@@ -16,10 +17,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wattfleet.functions.scalars import micros
 from wattfleet.operators.cooldown import NEVER, passing
@@ -37,6 +40,11 @@ _NONE = -(2**63)
 
 _OUT = "row string, late boolean"
 
+# The keys of a transition stream are dealt to this many states.
+_BUCKETS = 1024
+_LAST = {"key": np.array([], object), "t": np.array([], np.int64), "seq": np.array([], np.int64), "up": np.array([], bool), "heard": np.array([], np.int64)}
+_LAST_SCHEMA = pa.schema([("key", pa.string()), ("t", pa.int64()), ("seq", pa.int64()), ("up", pa.bool_()), ("heard", pa.int64())])
+
 
 def _packed(stream: DataFrame, keys: list[str], ts: str, seq: str, flag: F.Column) -> DataFrame:
     """Keys as one text that is never null, time in microseconds, sequence, a flag, and the whole row as text."""
@@ -66,7 +74,7 @@ def _told(results: np.ndarray, late: np.ndarray) -> Iterator[pd.DataFrame]:
 
 @contextmanager
 def _rocks_db(spark: SparkSession) -> Iterator[None]:
-    """The state store that these processors need, for streams started inside."""
+    """The state store of these streams, for those started inside."""
     before = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, _ROCKS_DB)
     try:
@@ -78,30 +86,51 @@ def _rocks_db(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_STORE, before)
 
 
-class Transitions(StatefulProcessor):
-    """False to true, row by row of a key, in the order of time and sequence inside a batch."""
-
-    def __init__(self, before_first: bool, forget_after_ms: int | None) -> None:
-        self.before_first, self.forget_after_ms = before_first, forget_after_ms
+def _transitions(before_first: bool, forget_after_ms: int | None):
+    """False to true, row by row of a key, in the order of time and sequence inside a batch.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t long, seq long, up boolean", self.forget_after_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.last.get()
-        t, seq, up = seen if seen is not None else (_NONE, _NONE, self.before_first)
-        times, numbers, flags, texts = _columns(rows)
-        fresh = (times > _NONE) & ((times > t) | ((times == t) & (numbers > seq)))
-        order = np.lexsort((numbers, times))
-        order = order[fresh[order]]
-        now = flags[order].astype(bool)
-        changes = order[now & ~np.append(up, now[:-1])] if len(order) else order
-        if len(order):
-            self.last.update((int(times[order[-1]]), int(numbers[order[-1]]), bool(now[-1])))
-        yield from _told(texts[changes], texts[~fresh])
+    A call takes the keys of a bucket together. Its state is a table of their last rows and
+    of when these came by the clock.
+    """
 
-    def close(self) -> None:
-        pass
+    def run(bucket: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else pd.DataFrame(_LAST)
+        clock = 0
+        if forget_after_ms is not None:
+            clock = state.getCurrentProcessingTimeMs()
+            last = last[last["heard"] > clock - forget_after_ms]
+        if not state.hasTimedOut:
+            batch = pd.concat(list(rows), ignore_index=True)
+            codes, keys = pd.factorize(np.concatenate([last["key"].to_numpy(object), batch["key"].to_numpy(object)]))
+            n, key = len(last), codes[len(last):]
+            t, seq, up, heard = (np.append(last[c].to_numpy(), np.full(len(keys) - n, x)) for c, x in (("t", _NONE), ("seq", _NONE), ("up", before_first), ("heard", clock)))
+            up = up.astype(bool)
+            times, numbers, flags = batch["t"].to_numpy(), batch["seq"].to_numpy(), batch["flag"].to_numpy(bool)
+            fresh = (times > _NONE) & ((times > t[key]) | ((times == t[key]) & (numbers > seq[key])))
+            order = np.lexsort((numbers, times, key))
+            order = order[fresh[order]]
+            now, of = flags[order], key[order]
+            first, final = np.append(True, of[1:] != of[:-1])[: len(of)], np.append(of[1:] != of[:-1], True)[-len(of) or 1 :]
+            changes = order[now & ~np.where(first, up[of], np.append(True, now[:-1])[: len(now)])]
+            newest, at = order[final], of[final]
+            t[at], seq[at], up[at], heard[at] = times[newest], numbers[newest], flags[newest], clock
+            known = np.arange(len(keys)) < n
+            known[at] = True
+            last = pd.DataFrame({"key": keys, "t": t, "seq": seq, "up": up, "heard": heard})[known]
+            texts = batch["row"].to_numpy(object)
+            yield from _told(texts[changes], texts[~fresh])
+        if len(last):
+            table = pa.RecordBatch.from_pandas(last, schema=_LAST_SCHEMA, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _LAST_SCHEMA) as out:
+                out.write_batch(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            if forget_after_ms is not None:
+                state.setTimeoutDuration(max(int(last["heard"].min()) + forget_after_ms - clock, 1))
+        elif state.exists:
+            state.remove()
+
+    return run
 
 
 class Cooldown(StatefulProcessor):
@@ -202,14 +231,15 @@ def transition_stream(
 
     The state of a key is its last row. Rows of a key that are not later than it, and rows
     without a time, are late. A key not heard of for ``forget_after_seconds`` starts anew;
-    such a stream wakes by the clock, so it does not end by itself. A batch holds a key's new rows in memory: bound it by the source's rate.
+    such a stream wakes by the clock, so it does not end by itself. A batch holds a bucket's new rows in memory: bound it by the source's rate.
     """
     ship_package(stream.sparkSession)
     forget = None if forget_after_seconds is None else round(forget_after_seconds * 1000)
-    processor = Transitions(True if initial is None else initial, forget)
     packed = _packed(stream, keys, ts, seq, F.col(up))
-    found = packed.groupBy("key").transformWithStateInPandas(
-        processor, outputStructType=_OUT, outputMode="Append", timeMode="None" if forget is None else "ProcessingTime"
+    dealt = packed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)))
+    found = dealt.groupBy("bucket").applyInPandasWithState(
+        _transitions(True if initial is None else initial, forget), _OUT, "last binary", "append",
+        GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
     return _start(_unpacked(found, stream), folder, interval)
 
