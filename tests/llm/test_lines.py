@@ -153,3 +153,26 @@ def test_shared_keys_over_batches(batches):
              for a, b in zip(cuts, cuts[1:], strict=False)]
     found = [tuple(r.values()) for part in L._shared(iter(parts)) for r in part.to_pylist()]
     assert sorted(found) == [(2, 1), (2, 2), (2, 9), (5, 1), (5, 2)]
+
+
+def test_bound_of_two_sketches_counts_their_common_bits_once(spark):
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abc") for _ in range(rng.randint(8, 60))) for _ in range(30)]
+    lines += [line[: len(line) - 2] + "zz" for line in lines] + [line + "q" for line in lines]
+    n, bits = L.sketches(lines)
+    rows = [(i, int(n[i]), int(np.bitwise_count(bits[i].view(np.uint64)).sum()), *map(int, bits[i])) for i in range(len(lines))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("line", "n", "ones", *L._BITS)))
+    condition = L._may_reach("x", "y", 0.8)
+    assert str(condition).count("bit_count") == len(L._BITS)
+    pairs = df.alias("x").join(df.alias("y"), condition).select("x.line", "y.line").collect()
+
+    def bound(i, j):
+        both = int(np.bitwise_count((bits[i] & bits[j]).view(np.uint64)).sum())
+        own, others = rows[i][2] - both, rows[j][2] - both
+        s = 0.8 - 1e-9
+        sizes = n[i] >= s * n[j] and n[j] >= s * n[i]
+        return sizes and n[i] - own >= s * (n[i] + others) and n[j] - others >= s * (n[j] + own)
+
+    expected = {(i, j) for i in range(len(lines)) for j in range(len(lines)) if bound(i, j)}
+    assert {tuple(p) for p in pairs} == expected and len(lines) < len(expected) < len(lines) ** 2
+    assert all((i, j) in expected for i in range(len(lines)) for j in range(len(lines)) if L.jaccard(lines[i], lines[j]) >= 0.8)

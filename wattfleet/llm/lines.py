@@ -76,17 +76,23 @@ def _shingle_hashes(codes: np.ndarray, shingle: int) -> np.ndarray:
     return hashes
 
 
-def signatures(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
-    """MinHash signatures, one row per line; a line shorter than a shingle is one shingle."""
+def _shingles(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the line of every shingle of the lines; a line shorter than a shingle is one shingle."""
     padded = [line if len(line) >= shingle else line + "\0" * (shingle - len(line)) for line in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(line) for line in padded], np.int64)
-    ends = np.cumsum(lengths)
     hashes = _shingle_hashes(codes, shingle)
-    n = len(hashes)
-    owner = np.repeat(np.arange(len(lines)), lengths)[:n]
-    whole = np.arange(n) + shingle <= ends[owner]
-    hashes, owner = _mix(hashes[whole]), owner[whole]
+    whole = np.ones(len(hashes), bool)
+    ends = np.cumsum(lengths)[:-1]
+    for i in range(1, shingle):  # runs that go on into the next line
+        whole[ends - i] = False
+    return hashes[whole], np.repeat(np.arange(len(lines)), lengths - shingle + 1)
+
+
+def signatures(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
+    """MinHash signatures, one row per line; a line shorter than a shingle is one shingle."""
+    hashes, owner = _shingles(lines, shingle)
+    hashes = _mix(hashes)
     place = ((hashes >> np.uint64(32)) * np.uint64(_PLACES) >> np.uint64(32)).astype(np.int64)
     value = (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
     flat = np.full(len(lines) * _PLACES, _EMPTY, np.int64)
@@ -203,14 +209,7 @@ def _not_blank(line: Column) -> Column:
 
 def sketches(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """For each line the number of its distinct shingles, and the bitmap of their hashes."""
-    padded = [line if len(line) >= shingle else line + "\0" * (shingle - len(line)) for line in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(line) for line in padded], np.int64)
-    ends = np.cumsum(lengths)
-    hashes = _shingle_hashes(codes, shingle)
-    owner = np.repeat(np.arange(len(lines)), lengths)[: len(hashes)]
-    whole = np.arange(len(hashes)) + shingle <= ends[owner]
-    hashes, owner = hashes[whole], owner[whole]
+    hashes, owner = _shingles(lines, shingle)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
@@ -247,10 +246,13 @@ def _may_reach(x: str, y: str, similarity: float) -> Column:
     """Whether two sketches allow this similarity: of a line's own bits, each stands for a shingle the other lacks."""
     at = lambda side, c: F.col(f"{side}.{c}")
     both = sum((F.bit_count(at(x, b).bitwiseAND(at(y, b))) for b in _BITS), F.lit(0))
-    own, others = at(x, "ones") - both, at(y, "ones") - both
-    bound = F.lit(similarity - 1e-9)
+    bound = similarity - 1e-9
     sizes = (at(x, "n") >= bound * at(y, "n")) & (at(y, "n") >= bound * at(x, "n"))
-    return sizes & (at(x, "n") - own >= bound * (at(x, "n") + others)) & (at(y, "n") - others >= bound * (at(y, "n") + own))
+    # A line shares at most n - ones + both of its shingles, and all together are at least n plus the other's own bits.
+    # Both sides are solved for the common bits, so that these are counted once a pair.
+    ones = at(x, "ones") + at(y, "ones")
+    least = F.greatest(*(bound * (at(s, "n") + ones - at(s, "ones")) - at(s, "n") + at(s, "ones") for s in (x, y)))
+    return sizes & (both * F.lit(1 + bound) >= least)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -262,8 +264,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
         for left, right in batches:
             yield pd.Series([exact.jaccard(a, b) >= similarity for a, b in zip(left, right, strict=True)], dtype=bool)
 
-    joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b"
+    # A centre is the first line of many pairs: joined last, these follow each other, and its shingles are made once.
+    joined = pairs.join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a"
     )
     return joined.where(similar("text_a", "text_b")).select("a", "b")
 
