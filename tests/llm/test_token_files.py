@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wattfleet.llm import token_files as T
+from wattfleet.llm import tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -95,3 +96,24 @@ def test_query_digests(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in QUERIES["op5_token_files"](spark, sf_dir).collect()), key=lambda r: r[1])
     assert got == [(a, b, c, zlib.crc32(d)) for a, b, c, d in expected(rows)]
+
+
+@pytest.mark.parametrize("top", [3, 1 << 16, 1 << 31])
+def test_pairs_are_grouped_in_one_sort(top):
+    rng = np.random.default_rng(top)
+    values = rng.integers(0, top, 12)
+    left, right = values[rng.integers(0, 12, 500)], values[rng.integers(0, 12, 500)]
+    pairs, counts, order = T._grouped(left, right, top)
+    codes = (left << 32) | right
+    expected, n = np.unique(codes, return_counts=True)
+    assert (pairs == expected).all() and (counts == n).all()
+    assert (order == np.argsort(codes, kind="stable")).all()
+    assert [len(x) for x in T._grouped(left[:0], right[:0], top)] == [0, 0, 0]
+
+
+def test_a_forgotten_word_is_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, text = tokens.Encoder(path), "one two\nthree, four one two #five-6 seven é x\t "
+    assert encoder.encode(text) == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(encoder.words) <= 3 and encoder.encode("two one") == tokens.Encoder(path).encode("two one")

@@ -37,6 +37,22 @@ _SAMPLE = 128
 _MAGIC = b"RPG1"
 
 
+def _grouped(left: np.ndarray, right: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs as ascending codes, how often each occurs, and the places of all pairs in the order of their codes."""
+    bits, wide = max(len(left) - 1, 1).bit_length(), n_symbols.bit_length()
+    if 2 * wide + bits <= 63:  # a pair and its place fit one number, and numbers sort faster than places by numbers
+        ranked = (((left << wide) | right) << bits) | np.arange(len(left))
+        ranked.sort()
+        order, codes = ranked & ((1 << bits) - 1), ranked >> bits
+    else:
+        codes = (left << wide) | right
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+    heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    pairs = codes[heads]
+    return ((pairs >> wide) << 32) | (pairs & ((1 << wide) - 1)), np.diff(np.append(heads, len(codes))), order
+
+
 def re_pair(ids: np.ndarray, first: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules, their expansion lengths, and the sequence that is left.
 
@@ -51,17 +67,17 @@ def re_pair(ids: np.ndarray, first: int, frequent: int = FREQUENT) -> tuple[np.n
     while len(seq) > 1:
         whole = near is None
         at = np.arange(len(seq) - 1) if whole else near
-        codes = (seq[at] << 32) | seq[at + 1]
-        pairs, counts = np.unique(codes, return_counts=True)
+        pairs, counts, order = _grouped(seq[at], seq[at + 1], first + n_rules)
         often = counts >= frequent
         replaced = np.zeros(0, np.int64)
         if often.any():
+            found = np.full(len(at), -1, np.int64)
+            found[order[np.repeat(often, counts)]] = np.repeat(np.arange(np.count_nonzero(often)), counts[often])
             pairs, counts = pairs[often], counts[often]
             rank = np.empty(len(pairs), np.int64)
             rank[np.argsort(counts, kind="stable")] = np.arange(1, len(pairs) + 1)
-            place = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
-            hit = pairs[place] == codes
-            at, place = at[hit], place[hit]
+            hit = found >= 0
+            at, place = at[hit], found[hit]
             weight = rank[place]
             beside_before, beside_after = np.r_[False, np.diff(at) == 1], np.r_[np.diff(at) == 1, False]
             before, after = np.where(beside_before, np.r_[0, weight[:-1]], 0), np.where(beside_after, np.r_[weight[1:], 0], 0)
@@ -90,8 +106,10 @@ def re_pair(ids: np.ndarray, first: int, frequent: int = FREQUENT) -> tuple[np.n
         keep[replaced + 1] = False
         seq = seq[keep]
         fresh = replaced - np.arange(len(replaced))  # where the new symbols are now
-        around = np.unique((fresh[:, None] + np.arange(-3, 3)).ravel())
-        near = around[(around >= 0) & (around < len(seq) - 1)]
+        around = np.zeros(len(seq) + 5, bool)
+        for i in range(6):
+            around[fresh + i] = True
+        near = np.flatnonzero(around[3 : len(seq) + 2])
     if not rules:
         return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), seq
     return np.concatenate(rules), np.concatenate(lengths), seq
@@ -125,19 +143,25 @@ class Shard:
         docs, null, counts, rules, lengths, sequence, places = parts
         return cls(docs, null, counts, rules.reshape(-1, 2), lengths, sequence, places, first, n_ids)
 
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        sizes = np.ones(len(symbols), np.int64)
+        inner = symbols >= self.first
+        sizes[inner] = self.lengths[symbols[inner] - self.first]
+        return sizes
+
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        out = symbols.astype(np.int64)
-        while True:
-            inner = out >= self.first
-            if not inner.any():
-                return out.astype("<u4")
-            size = np.where(inner, 2, 1)
-            start = np.cumsum(size) - size
-            wide = np.empty(int(size.sum()), np.int64)
-            wide[start[~inner]] = out[~inner]
-            rules = self.rules[out[inner] - self.first]
-            wide[start[inner]], wide[start[inner] + 1] = rules[:, 0], rules[:, 1]
-            out = wide
+        symbols = symbols.astype(np.int64)
+        sizes = self._sizes(symbols)
+        places = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), "<u4")
+        while len(symbols):
+            inner = symbols >= self.first
+            out[places[~inner]] = symbols[~inner]
+            left, right = self.rules[symbols[inner] - self.first].astype(np.int64).T
+            at = places[inner]
+            symbols, places = np.concatenate([left, right]), np.concatenate([at, at + self._sizes(left)])
+        return out
 
     def ids(self) -> np.ndarray:
         return self._expand(self.sequence)

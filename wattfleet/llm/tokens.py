@@ -48,6 +48,24 @@ def _plain_pattern(pattern: str) -> re.Pattern | None:
     return None if r"\p" in pattern else re.compile(pattern)
 
 
+class _Coded(dict):
+    """The bytes of ids, of which there are no more than a vocabulary has."""
+
+    def __missing__(self, number: int) -> bytes:
+        found = self[number] = number.to_bytes(4, "little")
+        return found
+
+
+class _Words(dict):
+    """Ids of words that a worker has met; others are encoded when they are asked for."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        return self.encode(word)
+
+
 class Encoder:
     """Ids of texts as bytes, each id a little-endian unsigned 32-bit integer."""
 
@@ -58,9 +76,10 @@ class Encoder:
         self.pattern = self._word_pattern(spec)
         self.plain = _plain_pattern(self.pattern.pattern) if self.pattern else None
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._word)
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
+        self.coded = _Coded()
 
     @staticmethod
     def _word_pattern(spec: dict) -> regex.Pattern | None:
@@ -83,21 +102,29 @@ class Encoder:
         return np.array(ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        mapped = "".join(map(self.letters.__getitem__, piece.encode("utf-8")))
-        found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        # Letters, digits and signs of ASCII stand for themselves.
+        plain = piece.isascii() and piece.isprintable() and " " not in piece
+        mapped = piece if plain else "".join(map(self.letters.__getitem__, piece.encode("utf-8")))
+        coded = self.coded
+        found = b"".join([coded[t.id] for t in self.model.tokenize(mapped)])
         if len(self.pieces) >= _PIECES:
             self.pieces.clear()
         self.pieces[piece] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        if "<|" in word or (not word.isascii() and (max(word) >= _STABLE or not unicodedata.is_normalized("NFC", word))):
+        simple = word.isascii()
+        if "<|" in word or (not simple and (max(word) >= _STABLE or not unicodedata.is_normalized("NFC", word))):
             found = self._whole(word)  # special tokens, and characters whose classes differ between libraries
         else:
-            known, lowered = self.pieces.get, word.lower()
-            plain = self.plain is not None and (lowered.isascii() or max(lowered) < _STABLE)
+            lowered = word.lower()
+            plain = self.plain is not None and (simple or max(lowered) < _STABLE)
             pieces = (self.plain if plain else self.pattern).findall(lowered)
-            found = b"".join([known(p) or self._piece(p) for p in pieces])
+            known = self.pieces.get
+            if len(pieces) == 1:
+                found = known(pieces[0]) or self._piece(pieces[0])
+            else:
+                found = b"".join([known(p) or self._piece(p) for p in pieces])
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         self.words[word] = found
@@ -106,12 +133,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.pattern is None:
             return self._whole(text)
-        known, words = self.words, text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            # A word may be forgotten while the text is encoded, so this does not look twice.
-            return b"".join([known[w] if w in known else self._word(w) for w in words])
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
