@@ -1,9 +1,8 @@
 """Transitions and cooldowns on live streams, on Spark's keyed state.
 
-The state lies in the RocksDB state store below the stream's checkpoint. Cooldowns keep
-one for each key; a batch changes only the states of the keys it holds. Transitions keep
-the last rows of all keys of a bucket together, and a batch changes the buckets it holds:
-a call of Python for each key would cost more than the work on its rows. A row travels as text beside the few numbers that the rules need, so
+The state lies in the RocksDB state store below the stream's checkpoint. The keys of a
+bucket have one state, and a batch changes the buckets it holds: a call of Python for
+each key would cost more than the work on its rows. A row travels as text beside the few numbers that the rules need, so
 that no column changes its type on the way.
 
 The results are written with a column ``late``: rows that came too late to be put in
@@ -40,17 +39,18 @@ _NONE = -(2**63)
 
 _OUT = "row string, late boolean"
 
-# The keys of a transition stream are dealt to this many states.
+# The keys of a stream are dealt to this many states.
 _BUCKETS = 1024
 _LAST = {"key": np.array([], object), "t": np.array([], np.int64), "seq": np.array([], np.int64), "up": np.array([], bool), "heard": np.array([], np.int64)}
 _LAST_SCHEMA = pa.schema([("key", pa.string()), ("t", pa.int64()), ("seq", pa.int64()), ("up", pa.bool_()), ("heard", pa.int64())])
+_FIRED_SCHEMA = pa.schema([("key", pa.string()), ("t", pa.int64())])
 
 
 def _packed(stream: DataFrame, keys: list[str], ts: str, seq: str, flag: F.Column) -> DataFrame:
-    """Keys as one text that is never null, time in microseconds, sequence, a flag, and the whole row as text."""
+    """A bucket of keys, the keys as one text that is never null, time in microseconds, sequence, a flag, and the whole row as text."""
     key = F.to_json(F.struct(*[F.col(k) for k in keys]), {**_TEXT, "ignoreNullFields": "false"})
     return stream.select(
-        key.alias("key"), F.coalesce(micros(ts), F.lit(_NONE)).alias("t"), F.coalesce(F.col(seq).cast("long"), F.lit(_NONE)).alias("seq"),
+        F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("bucket"), key.alias("key"), F.coalesce(micros(ts), F.lit(_NONE)).alias("t"), F.coalesce(F.col(seq).cast("long"), F.lit(_NONE)).alias("seq"),
         F.coalesce(flag, F.lit(False)).alias("flag"), F.to_json(F.struct(*[F.col(c) for c in stream.columns]), _TEXT).alias("row"),
     )
 
@@ -61,9 +61,17 @@ def _unpacked(found: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def _columns(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, ...]:
-    """Time, sequence, flag and text of a key's rows in a batch."""
+    """Key, time, sequence, flag and text of a bucket's rows in a batch."""
     parts = list(rows)
-    return tuple(np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "seq", "flag", "row"))
+    return tuple(np.concatenate([p[c].to_numpy() for p in parts]) for c in ("key", "t", "seq", "flag", "row"))
+
+
+def _table(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    """A table as one value of a state."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.RecordBatch.from_pandas(rows, schema=schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
 
 
 def _told(results: np.ndarray, late: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -100,12 +108,12 @@ def _transitions(before_first: bool, forget_after_ms: int | None):
             clock = state.getCurrentProcessingTimeMs()
             last = last[last["heard"] > clock - forget_after_ms]
         if not state.hasTimedOut:
-            batch = pd.concat(list(rows), ignore_index=True)
-            codes, keys = pd.factorize(np.concatenate([last["key"].to_numpy(object), batch["key"].to_numpy(object)]))
+            names, times, numbers, flags, texts = _columns(rows)
+            flags = flags.astype(bool)
+            codes, keys = pd.factorize(np.concatenate([last["key"].to_numpy(object), names.astype(object)]))
             n, key = len(last), codes[len(last):]
             t, seq, up, heard = (np.append(last[c].to_numpy(), np.full(len(keys) - n, x)) for c, x in (("t", _NONE), ("seq", _NONE), ("up", before_first), ("heard", clock)))
             up = up.astype(bool)
-            times, numbers, flags = batch["t"].to_numpy(), batch["seq"].to_numpy(), batch["flag"].to_numpy(bool)
             fresh = (times > _NONE) & ((times > t[key]) | ((times == t[key]) & (numbers > seq[key])))
             order = np.lexsort((numbers, times, key))
             order = order[fresh[order]]
@@ -117,14 +125,9 @@ def _transitions(before_first: bool, forget_after_ms: int | None):
             known = np.arange(len(keys)) < n
             known[at] = True
             last = pd.DataFrame({"key": keys, "t": t, "seq": seq, "up": up, "heard": heard})[known]
-            texts = batch["row"].to_numpy(object)
             yield from _told(texts[changes], texts[~fresh])
         if len(last):
-            table = pa.RecordBatch.from_pandas(last, schema=_LAST_SCHEMA, preserve_index=False)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _LAST_SCHEMA) as out:
-                out.write_batch(table)
-            state.update((sink.getvalue().to_pybytes(),))
+            state.update((_table(last, _LAST_SCHEMA),))
             if forget_after_ms is not None:
                 state.setTimeoutDuration(max(int(last["heard"].min()) + forget_after_ms - clock, 1))
         elif state.exists:
@@ -134,9 +137,10 @@ def _transitions(before_first: bool, forget_after_ms: int | None):
 
 
 class Cooldown(StatefulProcessor):
-    """Rows wait in a list until the watermark has passed them, and then go through the cooldown in order.
+    """Rows wait in a list until the watermark has passed them, and then go through the cooldown of their key in order.
 
-    A row is late when the watermark has passed it on arrival: rows after it may be decided.
+    A call takes the keys of a bucket together: they have one list, one timer, and one table
+    of when their last rows went through. A row is late when the watermark has passed it on arrival: rows after it may be decided.
     """
 
     def __init__(self, cooldown: int) -> None:
@@ -144,12 +148,12 @@ class Cooldown(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t long, seq long, flag boolean, row string")
-        self.fired = handle.getValueState("fired", "t long")
+        self.waiting = handle.getListState("waiting", "key string, t long, seq long, flag boolean, row string")
+        self.fired = handle.getValueState("fired", "last binary")
         self.timer = handle.getValueState("timer", "at long")
 
     def _wake(self, first: int) -> None:
-        """One timer for a key, for its earliest row that waits."""
+        """One timer for a bucket, for its earliest row that waits."""
         at, set_ = first // 1000 + 1, self.timer.get()
         if set_ is None or at < set_[0]:
             if set_ is not None:
@@ -159,34 +163,47 @@ class Cooldown(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        times, numbers, flags, texts = _columns(rows)
+        names, times, numbers, flags, texts = _columns(rows)
         late = (times == _NONE) | (times // 1000 < watermark)
         if not late.all():
-            kept = [c[~late].tolist() for c in (times, numbers, flags, texts)]
+            kept = [c[~late].tolist() for c in (names, times, numbers, flags, texts)]
             self.waiting.appendList(list(zip(*kept, strict=True)))
-            self._wake(min(kept[0]))
+            self._wake(min(kept[1]))
         yield from _told(texts[:0], texts[late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         watermark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
-        due = sum(r[0] // 1000 < watermark for r in rows)
-        rest = rows[due:]
+        rows = list(self.waiting.get())
+        due = [r for r in rows if r[1] // 1000 < watermark]
+        rest = [r for r in rows if r[1] // 1000 >= watermark]
         if rest:
             self.waiting.put(rest)
-            self._wake(rest[0][0])
+            self._wake(min(r[1] for r in rest))
         else:
             self.waiting.clear()
         if due:
-            last = self.fired.get()
-            state = NEVER if last is None else last[0]
-            t, flags = np.array([r[0] for r in rows[:due]], np.int64), np.array([r[2] for r in rows[:due]], bool)
-            passes, after = passing(t, flags, np.ones(due, bool), self.cooldown, state)
+            yield from _told(self._passed(due), np.array([], object))
+
+    def _passed(self, due: list[tuple]) -> np.ndarray:
+        """The texts of the rows that go through; each key's rows are decided by themselves."""
+        seen = self.fired.get()
+        last = {} if seen is None else dict(zip(*pa.ipc.open_stream(seen[0]).read_all().to_pydict().values(), strict=True))
+        names, t, numbers, flags, texts = (np.array([r[i] for r in due], kind) for i, kind in enumerate((object, np.int64, np.int64, bool, object)))
+        codes, keys = pd.factorize(names)
+        order = np.lexsort((numbers, t, codes))
+        ends = np.cumsum(np.bincount(codes))
+        found = []
+        for key, a, b in zip(keys, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            at = order[a:b]
+            passes, after = passing(t[at], flags[at], np.ones(b - a, bool), self.cooldown, last.get(key, NEVER))
             if passes.any():
-                self.fired.update((after,))
-                texts = np.array([r[3] for r in rows[:due]], object)
-                yield from _told(texts[passes], texts[:0])
+                last[key] = after
+                found.append(at[passes])
+        if not found:
+            return texts[:0]
+        self.fired.update((_table(pd.DataFrame({"key": list(last), "t": list(last.values())}), _FIRED_SCHEMA),))
+        return texts[np.concatenate(found)]
 
     def close(self) -> None:
         pass
@@ -236,8 +253,7 @@ def transition_stream(
     ship_package(stream.sparkSession)
     forget = None if forget_after_seconds is None else round(forget_after_seconds * 1000)
     packed = _packed(stream, keys, ts, seq, F.col(up))
-    dealt = packed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)))
-    found = dealt.groupBy("bucket").applyInPandasWithState(
+    found = packed.groupBy("bucket").applyInPandasWithState(
         _transitions(True if initial is None else initial, forget), _OUT, "last binary", "append",
         GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
@@ -267,7 +283,7 @@ def throttle_stream(
     marked = stream.withColumn("_event_time", event_time).withWatermark("_event_time", delay)
     # The copies below carry no watermark, so that late rows reach the processor.
     packed = _packed(marked.drop("_event_time"), keys, ts, seq, F.col(bypass) if bypass else F.lit(False))
-    found = packed.groupBy("key").transformWithStateInPandas(
+    found = packed.groupBy("bucket").transformWithStateInPandas(
         Cooldown(cooldown), outputStructType=_OUT, outputMode="Append", timeMode="EventTime"
     )
     return _start(_unpacked(found, stream), folder, interval)
