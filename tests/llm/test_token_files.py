@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +118,28 @@ def test_a_forgotten_word_is_encoded_again(monkeypatch):
     encoder, text = tokens.Encoder(path), "one two\nthree, four one two #five-6 seven é x\t "
     assert encoder.encode(text) == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert len(encoder.words) <= 3 and encoder.encode("two one") == tokens.Encoder(path).encode("two one")
+
+
+def test_texts_of_a_batch_are_encoded_together(monkeypatch):
+    words = ["meter", "Meter,", "don't", "é", "ﬀ", "ſ", "Ɓ", "İ", "中文", "é", "<|endoftext|>", "a\tb", "", "\n", "\x00", "99.5", "kWh​"]
+    rng = random.Random(5)
+    texts = ["", " ", "\n\n", *(rng.choice([" ", "\n", "  "]).join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(300))]
+    expected = [np.array([*TOKENIZER.encode(t, add_special_tokens=False).ids, 7], "<u4").tobytes() for t in texts]
+    for remembered, stretch in ((400_000, 1 << 22), (5, 40), (2, 1)):
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        monkeypatch.setattr(tokens, "STRETCH", stretch)
+        encoder = tokens.Encoder(PATH)
+        for kind in (pa.string(), pa.large_string()):
+            assert list(encoder.encode_all(pa.array(texts, kind), 7)) == expected
+            assert list(encoder.encode_all(pa.array(texts, kind).slice(100, 50), 7)) == expected[100:150]
+        assert list(encoder.encode_all(pa.array([], pa.string()), 7)) == []
+
+
+def test_the_library_gets_each_distinct_piece_once():
+    encoder = tokens.Encoder(PATH)
+    asked, make = [], encoder.pieces.make
+    encoder.pieces.make = lambda pieces: (asked.extend(pieces), make(pieces))[1]
+    texts = pa.array([f"load load, Load; (LOAD) {i % 7}" for i in range(500)])
+    for _ in range(2):
+        assert len(list(encoder.encode_all(texts, 2))) == 500
+    assert sorted(asked) == sorted({"load", ",", ";", "(", ")", *"0123456"})

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,11 +93,10 @@ def pack(
     dealt = docs.select(
         F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).alias("group")
     )
-    end = np.array([end_id], "<u4").tobytes()
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         group, ids, coded = -1, [], []
 
         def packed() -> pa.RecordBatch:
@@ -117,13 +115,14 @@ def pack(
         kind = None
         for batch in batches:
             kind = batch.schema.field("id").type
-            for name, text, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            names, numbers = batch.column("id").to_pylist(), batch.column("group").to_pylist()
+            for name, number, found in zip(names, numbers, encode_all(batch.column("text"), end_id), strict=True):
                 if number != group:
                     if coded:
                         yield packed().cast(_with_id(kind, id_col))
                     group, ids, coded = number, [], []
                 ids.append(name)
-                coded.append(encode(text) + end)
+                coded.append(found)
         if coded:
             yield packed().cast(_with_id(kind, id_col))
 

@@ -204,11 +204,10 @@ def write_tokens(
     parts and the numbers in them are in the order of ids. Other columns play no part.
     """
     path = path or shared_folder(docs.sparkSession, "tokens")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, names, coded, size = TaskContext.get().partitionId(), 0, [], [], 0
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
 
         def shard() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
@@ -217,9 +216,9 @@ def write_tokens(
             ], ["part", "number", "n_ids", "shard"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, found in zip(batch.column("id").to_pylist(), encode_all(batch.column("text"), end_id), strict=True):
                 names.append(name)
-                coded.append(encode(text) + end)
+                coded.append(found)
                 size += len(coded[-1]) // 4
                 if size >= shard_ids:
                     yield shard()
