@@ -26,9 +26,9 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Words, and pieces of words, a worker remembers; beyond that only those it has just met again. Bounds memory only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters of the texts worked on at a time.
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 #: Pieces in a call of the library, which makes a record of each token.
 _PIECES = 1 << 14
 #: All characters below this are composed already and have had their classes since Unicode 1.1.
