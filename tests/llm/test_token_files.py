@@ -143,3 +143,13 @@ def test_the_library_gets_each_distinct_piece_once():
     for _ in range(2):
         assert len(list(encoder.encode_all(texts, 2))) == 500
     assert sorted(asked) == sorted({"load", ",", ";", "(", ")", *"0123456"})
+
+
+def test_a_worker_keeps_few_words():
+    letters = "abcdefghijklmnop"
+    words = ["".join(letters[i >> 4 * k & 15] for k in range(5)) for i in range(300_000)]
+    encoder = tokens.Encoder(PATH)
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    assert len(list(encoder.encode_all(pa.array(texts), 2))) == 300
+    assert len(encoder.words) <= 200_000 and len(encoder.pieces) <= 200_000
+    assert encoder.encode(texts[7]) == np.array(TOKENIZER.encode(texts[7], add_special_tokens=False).ids, "<u4").tobytes()
