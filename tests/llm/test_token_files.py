@@ -153,3 +153,66 @@ def test_a_worker_keeps_few_words():
     assert len(list(encoder.encode_all(pa.array(texts), 2))) == 300
     assert len(encoder.words) <= 200_000 and len(encoder.pieces) <= 200_000
     assert encoder.encode(texts[7]) == np.array(TOKENIZER.encode(texts[7], add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_grammar_counts_few_pairs_twice(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 3000, rng.integers(2, 7)) for _ in range(4000)]
+    ids = np.concatenate([words[min(int(i), 3999)] for i in rng.zipf(1.2, 30_000)])
+    counted, grouped = [], T._grouped
+    monkeypatch.setattr(T, "_grouped", lambda left, right, n: (counted.append(len(left)), grouped(left, right, n))[1])
+    rules, lengths, seq = T.re_pair(ids, 3000, 4)
+    assert sum(counted) < 3 * len(ids)
+    _, counts, _ = grouped(seq[:-1], seq[1:], 3000 + len(rules))
+    assert counts.max() < 2 * 4  # a pair left beside itself only counts twice what can be replaced
+    shard = shard_of(ids, 4)
+    assert (shard.ids() == ids).all() and len(shard.sequence) == len(seq) and shard.lengths.tolist() == lengths.tolist()
+
+
+@pytest.mark.parametrize("frequent", [2, 4])
+def test_runs_and_short_sequences(frequent):
+    for ids in ([], [5], [5, 5], [0] * 9, [0] * 1000, [0, 1] * 500, [0, 0, 1] * 300, [1, 0, 0, 0, 0] * 40 + [1], [3, 1, 3, 1, 3]):
+        shard = shard_of(ids, frequent)
+        assert shard.ids().tolist() == ids == shard._expand(shard.sequence).tolist()
+        assert len(shard.sequence) <= max(12, len(ids) // 20) if len(ids) > 100 else True
+
+
+def test_ids_expand_each_rule_once(monkeypatch):
+    shard = shard_of([1, 2, 3, 4, 5, 6, 7] * 500 + list(range(8, 5000)), 4)
+    asked, expand = [], T.Shard._expand
+    monkeypatch.setattr(T.Shard, "_expand", lambda self, symbols: (asked.extend(symbols.tolist()), expand(self, symbols))[1])
+    assert shard.ids().tolist() == [1, 2, 3, 4, 5, 6, 7] * 500 + list(range(8, 5000))
+    assert len(asked) == len(set(asked)) <= len(shard.rules)
+
+
+class Hashed(str):
+    """A string that counts its hashes."""
+
+    hashes = 0
+
+    def __hash__(self):
+        Hashed.hashes += 1
+        return super().__hash__()
+
+
+def test_a_new_word_is_looked_up_once():
+    known = tokens._Known(lambda words: (np.arange(len(words), dtype=np.uint32), np.ones(len(words), np.int64)))
+    Hashed.hashes = 0
+    place, ids, starts, sizes = known.find([Hashed(f"w{i}") for i in range(100)])
+    assert Hashed.hashes <= 200 and place.tolist() == list(range(1, 101)) and ids.tolist() == list(range(100))
+    place, *_ = known.find(["w7", "new", "w8", "new"])
+    assert place.tolist() == [8, 101, 9, 101]
+
+
+def test_words_that_failed_are_not_known():
+    def make(words):
+        if "bad" in words:
+            raise ValueError("bad")
+        return np.arange(len(words), dtype=np.uint32), np.ones(len(words), np.int64)
+
+    known = tokens._Known(make)
+    known.find(["a"])
+    with pytest.raises(ValueError):
+        known.find(["b", "bad", "b"])
+    place, ids, starts, sizes = known.find(["c", "a", "b"])
+    assert place.tolist() == [2, 1, 3] and len(known) == len(sizes) == 4

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattfleet.llm.tokens import encoder
+from wattfleet.llm.tokens import encoder, gathered
 from wattfleet.session import shared_folder, stored
 
 #: Ids of a shard; it ends with the document that fills it.
@@ -40,12 +40,15 @@ _MAGIC = b"RPG1"
 def _grouped(left: np.ndarray, right: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs as ascending codes, how often each occurs, and the places of all pairs in the order of their codes."""
     bits, wide = max(len(left) - 1, 1).bit_length(), n_symbols.bit_length()
+    codes = left << wide
+    codes |= right
     if 2 * wide + bits <= 63:  # a pair and its place fit one number, and numbers sort faster than places by numbers
-        ranked = (((left << wide) | right) << bits) | np.arange(len(left))
-        ranked.sort()
-        order, codes = ranked & ((1 << bits) - 1), ranked >> bits
+        codes <<= bits
+        codes |= np.arange(len(left))
+        codes.sort()
+        order = codes & ((1 << bits) - 1)
+        codes >>= bits
     else:
-        codes = (left << wide) | right
         order = np.argsort(codes, kind="stable")
         codes = codes[order]
     heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
@@ -53,66 +56,107 @@ def _grouped(left: np.ndarray, right: np.ndarray, n_symbols: int) -> tuple[np.nd
     return ((pairs >> wide) << 32) | (pairs & ((1 << wide) - 1)), np.diff(np.append(heads, len(codes))), order
 
 
+class _Grammar:
+    """Rules so far, and the pairs that get one in a round."""
+
+    def __init__(self, first: int, frequent: int, kind: type) -> None:
+        self.first, self.frequent, self.kind = first, frequent, kind
+        self.rules, self.lengths, self.size = [], [np.ones(1, np.int64)], 0
+
+    def weights(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair among the frequent ones, from 1 for the rarest; 0 for other pairs."""
+        pairs, counts, order = _grouped(left.astype(np.int64), right.astype(np.int64), self.first + self.size)
+        often = np.flatnonzero(counts >= self.frequent)
+        often = often[np.argsort(counts[often], kind="stable")]
+        ranks = np.zeros(len(pairs), self.kind)
+        ranks[often] = np.arange(1, len(often) + 1)
+        self.pairs = pairs[often]
+        weight = np.empty(len(left), self.kind)
+        weight[order] = np.repeat(ranks, counts)
+        return weight
+
+    def chosen(self, best: np.ndarray, weight: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places to replace and their new symbols, of those not beside a more frequent pair.
+
+        ``same`` tells which places are beside the next one and hold the same pair.
+        """
+        on = np.flatnonzero(same & best[1:] & best[:-1]) + 1  # places that go on with a run, of which every second is taken
+        number = np.arange(len(on))
+        start = np.maximum.accumulate(np.where(np.diff(on, prepend=-1) > 1, number, 0))
+        best[on[(number - start) % 2 == 0]] = False
+        places = np.flatnonzero(best)
+        weight = weight[places]
+        worth = np.bincount(weight, minlength=len(self.pairs) + 1) >= self.frequent
+        worth[0] = False
+        taken = worth[weight]
+        new, known = self.pairs[worth[1:]], np.concatenate(self.lengths)  # of ids first, then of rules
+        left, right = new >> 32, new & 0xFFFFFFFF
+        symbols = (np.cumsum(worth) - 1 + self.first + self.size).astype(self.kind)
+        self.rules.append(np.stack([left, right], 1))
+        self.lengths.append(known[np.maximum(left - self.first + 1, 0)] + known[np.maximum(right - self.first + 1, 0)])
+        self.size += len(new)
+        return places[taken], symbols[weight[taken]]
+
+
 def re_pair(ids: np.ndarray, first: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules, their expansion lengths, and the sequence that is left.
 
     Each round counts pairs and replaces those frequent ones that are not beside a more
-    frequent one; in a run of one symbol every second pair is taken. What a round leaves
-    of a frequent pair lies beside its replacements, and so does every pair with a new
-    symbol; the next round counts there, until a round over all pairs finds none.
+    frequent one; in a run of one symbol every second pair is taken. A pair that is rare
+    stays so until one of its symbols is replaced, since each round makes symbols of its
+    own. So the next round counts what is left of frequent pairs and the pairs with a new
+    symbol only, until none is replaced. While these are many, a round passes over the
+    whole sequence and closes it up; then replaced symbols leave holes.
     """
-    seq = ids.astype(np.int64)
-    rules, lengths, n_rules = [], [], 0
-    near = None  # places worth counting; None: all
-    while len(seq) > 1:
-        whole = near is None
-        at = np.arange(len(seq) - 1) if whole else near
-        pairs, counts, order = _grouped(seq[at], seq[at + 1], first + n_rules)
-        often = counts >= frequent
-        replaced = np.zeros(0, np.int64)
-        if often.any():
-            found = np.full(len(at), -1, np.int64)
-            found[order[np.repeat(often, counts)]] = np.repeat(np.arange(np.count_nonzero(often)), counts[often])
-            pairs, counts = pairs[often], counts[often]
-            rank = np.empty(len(pairs), np.int64)
-            rank[np.argsort(counts, kind="stable")] = np.arange(1, len(pairs) + 1)
-            hit = found >= 0
-            at, place = at[hit], found[hit]
-            weight = rank[place]
-            beside_before, beside_after = np.r_[False, np.diff(at) == 1], np.r_[np.diff(at) == 1, False]
-            before, after = np.where(beside_before, np.r_[0, weight[:-1]], 0), np.where(beside_after, np.r_[weight[1:], 0], 0)
-            best = (weight >= before) & (weight >= after)
-            at, place, weight = at[best], place[best], weight[best]
-            goes_on = np.r_[False, (np.diff(at) == 1) & (weight[1:] == weight[:-1])]
-            run = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(at))))
-            taken = (np.arange(len(at)) - run) % 2 == 0
-            at, place = at[taken], place[taken]
-            worth = np.bincount(place, minlength=len(pairs)) >= frequent
-            replaced, place = at[worth[place]], place[worth[place]]
+    n = len(ids)
+    kind = np.int32 if first + n < 1 << 31 else np.int64
+    grammar, seq = _Grammar(first, frequent, kind), ids.astype(kind)
+    count = np.ones(max(n - 1, 0), bool)  # whether the pair that starts here is counted
+    while 8 * np.count_nonzero(count) > n:
+        at = np.flatnonzero(count)
+        weight = np.zeros(n - 1, kind)
+        weight[at] = grammar.weights(seq[at], seq[at + 1])
+        count = weight > 0
+        best = count.copy()
+        best[1:] &= weight[1:] >= weight[:-1]
+        best[:-1] &= weight[:-1] >= weight[1:]
+        replaced, symbols = grammar.chosen(best, weight, weight[1:] == weight[:-1])
         if not len(replaced):
-            if whole:
-                break
-            near = None
-            continue
-        symbol = np.cumsum(worth) - 1 + first + n_rules
-        new = pairs[worth]
-        known = np.concatenate([np.ones(1, np.int64), *lengths])  # of ids first, then of rules
-        left, right = new >> 32, new & 0xFFFFFFFF
-        rules.append(np.stack([left, right], 1))
-        lengths.append(known[np.maximum(left - first + 1, 0)] + known[np.maximum(right - first + 1, 0)])
-        n_rules += len(new)
-        seq[replaced] = symbol[place]
-        keep = np.ones(len(seq), bool)
-        keep[replaced + 1] = False
-        seq = seq[keep]
-        fresh = replaced - np.arange(len(replaced))  # where the new symbols are now
-        around = np.zeros(len(seq) + 5, bool)
-        for i in range(6):
-            around[fresh + i] = True
-        near = np.flatnonzero(around[3 : len(seq) + 2])
-    if not rules:
-        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), seq
-    return np.concatenate(rules), np.concatenate(lengths), seq
+            count[:] = False
+            break
+        seq[replaced] = symbols
+        count[replaced] = True
+        count[np.maximum(replaced - 1, 0)] = True
+        stays = np.ones(n, bool)
+        stays[replaced + 1] = False
+        seq, count = seq[stays], count[stays[:-1]]
+        n = len(seq)
+        count = count[: n - 1]
+
+    stays, after, before = np.ones(n, bool), np.arange(1, n + 1), np.arange(-1, n - 1)
+    at = np.flatnonzero(count)
+    while len(at):
+        weight = grammar.weights(seq[at], seq[after[at]])
+        at, weight = at[weight > 0], weight[weight > 0]
+        beside, best = after[at[:-1]] == at[1:], np.ones(len(at), bool)
+        best[1:] &= ~beside | (weight[1:] >= weight[:-1])
+        best[:-1] &= ~beside | (weight[:-1] >= weight[1:])
+        places, symbols = grammar.chosen(best, weight, beside & (weight[1:] == weight[:-1]))
+        if not len(places):
+            break
+        replaced = at[places]
+        seq[replaced] = symbols
+        gone = after[replaced]
+        stays[gone] = False
+        after[replaced] = following = after[gone]
+        inner = following < n
+        before[following[inner]] = replaced[inner]
+        ahead = before[replaced]
+        at = np.unique(np.concatenate([at, replaced, ahead[ahead >= 0]]))
+        at = at[stays[at] & (after[at] < n)]
+    if not grammar.size:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), seq.astype(np.int64)
+    return np.concatenate(grammar.rules), np.concatenate(grammar.lengths[1:]), seq[stays].astype(np.int64)
 
 
 @dataclass
@@ -164,7 +208,16 @@ class Shard:
         return out
 
     def ids(self) -> np.ndarray:
-        return self._expand(self.sequence)
+        if int(self.lengths.sum(dtype=np.int64)) > self.n_ids:
+            return self._expand(self.sequence)
+        # Each rule is expanded once, and the symbols' stretches are gathered from the rules and the sequence itself.
+        flat = self._expand(self.first + np.arange(len(self.rules)))
+        ends = np.append(np.cumsum(self.lengths, dtype=np.int64), 0)
+        starts = len(flat) + np.arange(len(self.sequence))
+        inner = self.sequence >= self.first
+        rule = self.sequence[inner] - self.first
+        starts[inner] = ends[rule] - self.lengths[rule]
+        return gathered(np.concatenate([flat, self.sequence]), starts, self._sizes(self.sequence))
 
     def slice(self, start: int, end: int) -> np.ndarray:
         """Ids from ``start`` to before ``end``, from the symbols that hold them only."""

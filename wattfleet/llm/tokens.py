@@ -10,13 +10,15 @@ number, as arrays. Any other tokenizer encodes whole texts.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import compress, repeat
+from itertools import compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +73,7 @@ def _listed(lines: pa.Array) -> list[str]:
     return pc.binary_join(whole, "\n")[0].as_py().split("\n")
 
 
-def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches of ``flat`` with these starts and sizes, one after the other."""
     ends = np.cumsum(sizes)
     small = np.int32 if len(flat) < 1 << 31 and ends[-1:].sum() < 1 << 31 else np.int64
@@ -94,29 +96,30 @@ class _Known:
         return len(self.places)
 
     def _keep(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.places = dict(zip(strings, range(len(strings)), strict=True))
+        # A string asked for the first time gets the next place.
+        self.places = defaultdict(count(len(strings)).__next__, zip(strings, range(len(strings)), strict=True))
         self.ids, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
 
     def find(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The place of each string, and by place: all ids, where those of a string start, and how many they are."""
-        places = self.places
-        place = np.fromiter(map(places.get, strings, repeat(-1)), np.int64, len(strings))
-        missing = np.flatnonzero(place < 0)
-        if len(missing):
-            asked = [strings[i] for i in missing.tolist()]
-            fresh = list(dict.fromkeys(asked))
-            ids, sizes = self.make(fresh)
+        places, before = self.places, len(self.places)
+        place = np.fromiter(map(places.__getitem__, strings), np.int64, len(strings))
+        if len(places) > before:
+            fresh = list(islice(reversed(places), len(places) - before))[::-1]
+            try:
+                ids, sizes = self.make(fresh)
+            except BaseException:
+                for string in fresh:
+                    del places[string]
+                places.default_factory = count(before).__next__
+                raise
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
             self.ids, self.sizes = np.append(self.ids, ids), np.append(self.sizes, sizes)
-            places.update(zip(fresh, range(len(places), len(places) + len(fresh)), strict=True))
-            place[missing] = list(map(places.__getitem__, asked))
         found = place, self.ids, self.starts, self.sizes
         if len(places) > REMEMBERED:
-            again = np.ones(len(strings), bool)
-            again[missing] = False
-            kept = list(dict.fromkeys(["\n", *compress(strings, again.tolist())]))[:REMEMBERED]
+            kept = list(dict.fromkeys(["\n", *compress(strings, (place < before).tolist())]))[:REMEMBERED]
             at = np.array([places[k] for k in kept])
-            self._keep(kept, _gathered(self.ids, self.starts[at], self.sizes[at]), self.sizes[at])
+            self._keep(kept, gathered(self.ids, self.starts[at], self.sizes[at]), self.sizes[at])
         return found
 
 
@@ -140,9 +143,7 @@ class Encoder:
             self.cut = re.compile(f"(?:{self.plain.pattern})|\n")
             self.bare = Tokenizer(model)
             self.bare.pre_tokenizer = WhitespaceSplit()
-            letters = _byte_letters()
-            others = (c for c in range(ord(_STABLE)) if c != ord(" "))
-            self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in others}
+            self.letters = "".join(" " if b == ord(" ") else letter for b, letter in sorted(_byte_letters().items()))
         else:
             self.cut = None
         # A task has one core; the library would start a thread for each core of the machine.
@@ -171,7 +172,7 @@ class Encoder:
         """The ids of all pieces one after the other, and how many each has."""
         ids, sizes = [], []
         for at in range(0, len(pieces), _PIECES):
-            part = " ".join(pieces[at : at + _PIECES]).translate(self.letters)
+            part = codecs.charmap_decode(" ".join(pieces[at : at + _PIECES]).encode(), "strict", self.letters)[0]
             listed = part.split(" ")
             found = np.array(self.bare.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32)
             reached, ends = np.cumsum(self.lengths[found]), np.cumsum(list(map(len, listed)))
@@ -191,7 +192,7 @@ class Encoder:
             joined = "\n".join(["" if i in odd else w for i, w in enumerate(words)])
         piece, ids, start, size = self.pieces.find(self.cut.findall(joined.lower()))
         sizes = np.bincount(np.cumsum(piece == 0), size[piece], len(words)).astype(np.int64)
-        ids = _gathered(ids, start[piece], size[piece])
+        ids = gathered(ids, start[piece], size[piece])
         if odd:
             starts, at = np.cumsum(sizes) - sizes, np.fromiter(odd, np.int64)
             own = [len(found) for found in odd.values()]
@@ -213,7 +214,7 @@ class Encoder:
         ids, starts, sizes = np.append(ids, np.uint32(end_id)), np.append(starts, len(ids)), np.append(sizes, 1)
         size = sizes[word]
         reached = np.cumsum(size)[ends + np.arange(len(ends))]
-        return _gathered(ids, starts[word], size), np.diff(reached, prepend=0)
+        return gathered(ids, starts[word], size), np.diff(reached, prepend=0)
 
     def encode(self, text: str) -> bytes:
         """The ids of one text as little-endian unsigned 32-bit integers."""
