@@ -176,3 +176,40 @@ def test_bound_of_two_sketches_counts_their_common_bits_once(spark):
     expected = {(i, j) for i in range(len(lines)) for j in range(len(lines)) if bound(i, j)}
     assert {tuple(p) for p in pairs} == expected and len(lines) < len(expected) < len(lines) ** 2
     assert all((i, j) in expected for i in range(len(lines)) for j in range(len(lines)) if L.jaccard(lines[i], lines[j]) >= 0.8)
+
+
+def test_packed_shingles_give_the_exact_similarity():
+    rng = random.Random(13)
+    exact = L._Exact(8)
+    assert L._packed("latin one: é, ÿ", 8) is not None and L._packed("short", 8) is None and L._packed("the cedi: ₵ and more", 8) is None
+    assert L._packed("nine characters", 9) is None
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcdefgh é\0ÿ", "abcdefgh ₵😀"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 200)))
+        b = "".join(rng.choice(["", c, c, c, c, c, c, rng.choice("xÿ₵")]) for c in a) + "tail" * rng.randint(0, 2) or "x"
+        x, y = shingles(a), shingles(b)
+        assert exact.jaccard(a, b) == exact.jaccard(b, a) == len(x & y) / len(x | y) == L.jaccard(a, b)
+
+
+def test_hashes_of_runs_are_one_polynomial():
+    codes = np.random.default_rng(14).integers(0, 1 << 21, 300).astype(np.uint64)
+    for size in range(1, 20):
+        slow = np.zeros(len(codes) - size + 1, np.uint64)
+        for i in range(size):
+            slow = slow * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(slow)]
+        assert (L._shingle_hashes(codes, size) == slow).all()
+
+
+def test_blank_lines(spark):
+    lines = ["", " ", "\t\r\x0b\x0c ", " a ", "a", "\xa0", " ", "\x00", " \x1f"]
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    assert [r[0] for r in df.select(L._not_blank(F.col("line"))).collect()] == [bool(line.strip(SPACES)) for line in lines]
+    # Looking at a line's start is enough; trimming its end goes over the whole line.
+    assert "btrim" not in df.where(L._not_blank(F.col("line")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_hashed_before_its_lines_are_rows(spark):
+    docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
+    listed = L._lines(docs, "doc_id", "text", keep_text=False)
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("AS text_hash") and sorted(r.number for r in listed.collect()) == [0, 1]

@@ -67,12 +67,16 @@ _DONORS = _donors()
 
 
 def _shingle_hashes(codes: np.ndarray, shingle: int) -> np.ndarray:
-    """A hash of every run of ``shingle`` code points."""
-    n = len(codes) - shingle + 1
-    hashes = np.zeros(n, np.uint64)
-    for i in range(shingle):
-        hashes *= np.uint64(0x9E3779B97F4A7C15)
-        hashes += codes[i : i + n]
+    """A hash of every run of ``shingle`` code points: a polynomial, whose runs of twice the length are two runs each."""
+    hashes, size, factor = codes, 1, 0x9E3779B97F4A7C15
+    for bit in f"{shingle:b}"[1:]:
+        longer = hashes[:-size] * np.uint64(pow(factor, size, 1 << 64))
+        longer += hashes[size:]
+        hashes, size = longer, 2 * size
+        if bit == "1":
+            longer = hashes[:-1] * np.uint64(factor)
+            longer += codes[size:]
+            hashes, size = longer, size + 1
     return hashes
 
 
@@ -176,41 +180,60 @@ def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _packed(line: str, shingle: int) -> np.ndarray | None:
+    """The distinct shingles of eight characters as ascending numbers, a byte for each character; None if they do not fit."""
+    if shingle != 8 or len(line) < shingle:
+        return None
+    try:
+        coded = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    found = np.ndarray(len(coded) - 7, "<u8", coded, strides=(1,)).copy()
+    found.sort()
+    fresh = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=fresh[1:])
+    return found[fresh]
+
+
 class _Exact:
     """Exact Jaccard similarity by sets of shingles, kept for lines met again up to a bound of characters."""
 
     def __init__(self, shingle: int, bound: int = 1 << 16) -> None:
         self.shingle, self.bound = shingle, bound
-        self.known: dict[str, set[str]] = {}
+        self.known: dict[str, np.ndarray | None] = {}
         self.chars = 0
 
-    def shingles(self, line: str) -> set[str]:
-        found = self.known.get(line)
-        if found is None:
-            size = self.shingle
-            found = {line[i : i + size] for i in range(max(len(line) - size + 1, 1))}
-            if self.chars + len(line) > self.bound:
-                self.known.clear()
-                self.chars = 0
-            if len(line) <= self.bound:
-                self.known[line] = found
-                self.chars += len(line)
+    def shingles(self, line: str) -> np.ndarray | None:
+        if line in self.known:
+            return self.known[line]
+        found = _packed(line, self.shingle)
+        if self.chars + len(line) > self.bound:
+            self.known.clear()
+            self.chars = 0
+        if len(line) <= self.bound:
+            self.known[line] = found
+            self.chars += len(line)
         return found
 
     def jaccard(self, a: str, b: str) -> float:
         x, y = self.shingles(a), self.shingles(b)
-        both = len(x & y)
-        return both / (len(x) + len(y) - both)
+        if x is None or y is None:
+            return jaccard(a, b, self.shingle)
+        each = np.concatenate([x, y])
+        each.sort()
+        both = int(np.count_nonzero(each[1:] == each[:-1]))
+        return both / (len(each) - both)
 
 
 def _not_blank(line: Column) -> Column:
-    return F.btrim(line, F.lit(_SPACES)) != ""
+    # From the left only: it stops at the first other character, while the end of a line is found by a pass over it.
+    return F.ltrim(line, F.lit(_SPACES)) != ""
 
 
 def sketches(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """For each line the number of its distinct shingles, and the bitmap of their hashes."""
     hashes, owner = _shingles(lines, shingle)
-    order = np.lexsort((hashes, owner))
+    order = np.argsort(hashes, kind="stable")  # owners ascend, and do so among equal hashes
     hashes, owner = hashes[order], owner[order]
     fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
     hashes, owner = _mix(hashes[fresh]), owner[fresh]
@@ -273,8 +296,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
     """Rows ``(id, text_hash, number, line[, text])`` of all lines that are not blank."""
-    split = F.posexplode(F.split(F.col(text_col), "\n")).alias("number", "text")
-    listed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), split).where(_not_blank(F.col("text")))
+    # The text is hashed before its lines are rows, once for all of them.
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("whole"))
+    split = F.posexplode(F.split("whole", "\n")).alias("number", "text")
+    listed = hashed.select("id", "text_hash", split).where(_not_blank(F.col("text")))
     columns = ["id", "text_hash", "number", F.xxhash64("text").alias("line")]
     return listed.select(*columns, *(["text"] if keep_text else []))
 
